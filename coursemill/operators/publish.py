@@ -65,6 +65,23 @@ def complete_lines(rows: DataFrame, with_content: bool = True) -> DataFrame:
     return rows.selectExpr("course_url", "course_title", f"inline(filter(array({lines}), x -> x IS NOT NULL))")
 
 
+def complete_slices(rows: DataFrame) -> DataFrame:
+    """Complete documents cut by unit: each row is a course holding one unit.
+
+    Same schema as the whole document, made row by row and free of grouping;
+    this is the form to keep as a snapshot for later runs.
+    """
+    return rows.where("unit_ord IS NOT NULL").selectExpr(
+        "course_url AS url", "course_title AS title", "'' AS description",
+        """array(named_struct('title', path_title, 'url', path_url, 'learn_uid', learn_uid,
+            'modules', array(named_struct('title', module_title, 'url', module_url, 'description', '',
+                'learning_objectives', CAST(array() AS array<string>), 'prerequisites', CAST(array() AS array<string>),
+                'units', array(named_struct('number', unit_number, 'title', unit_title, 'url', unit_url,
+                    'href', unit_href, 'content', content, 'headings', headings, 'code_blocks', code_blocks,
+                    'images', images, 'links', links)))))) AS learning_paths""",
+    )
+
+
 def training_records(rows: DataFrame, scraped_at: str | None = None) -> DataFrame:
     """One flat record per unit that has content."""
     stamp = F.lit(scraped_at) if scraped_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")

@@ -118,8 +118,25 @@ def inputs_of(name: str) -> list[str]:
     return [t for t in [*DERIVED, "pages", "documents", "events", "benchmark"] if "{" + t + "}" in text]
 
 
+SMALL_INPUT = 1 << 30
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Use all cores on a small table that arrives as one file split.
+
+    A large table has enough splits of its own and is never moved: its size,
+    as the scan reports it, is checked first.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    if int(str(size)) > SMALL_INPUT:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a derived table as a DataFrame."""
+    if name == "pages":
+        return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
     if name not in DERIVED:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return spark.sql(DERIVED[name], **{t: table(spark, sf_dir, t) for t in inputs_of(name)})
@@ -133,11 +150,58 @@ def derived_ctes(*names: str) -> str:
         if name in DERIVED and name not in done:
             for needed in inputs_of(name):
                 add(needed)
-            text = DERIVED[name]
-            for needed in inputs_of(name):
-                text = text.replace("{" + needed + "}", needed)
+            text = DERIVED[name].format(**{needed: needed for needed in inputs_of(name)})
             done[name] = f"{name} AS ({text.strip()})"
 
     for name in names:
         add(name)
     return ",\n".join(done.values())
+
+
+# --- small relations the registered queries add on top -------------------
+
+NUMBER_CASES = """
+SELECT page_id,
+  concat('https://learn.example.org/training/modules/', CASE page_id % 6 WHEN 0 THEN '3-things/summary'
+    WHEN 1 THEN concat('m', page_id, '/', page_id % 40, '-unit') WHEN 2 THEN 'mod/exercise' WHEN 3 THEN 'mod/check'
+    WHEN 4 THEN 'mod/other' ELSE concat('mod/x', page_id, '-y') END) AS unit_url,
+  CASE page_id % 7 WHEN 0 THEN concat(page_id, '. Start') WHEN 1 THEN 'Exercise summary' WHEN 2 THEN 'Introduction'
+    WHEN 3 THEN 'Knowledge-check' WHEN 4 THEN 'Exercise' WHEN 5 THEN 'Module assessment' ELSE 'Overview' END AS title
+FROM {pages}
+"""
+
+SELECTIONS = """
+SELECT attempt_id, CASE attempt_id % 5 WHEN 0 THEN '1,99' WHEN 1 THEN '1,x' WHEN 2 THEN '99' WHEN 3 THEN '2, 3'
+  ELSE '' END AS selection,
+  CASE attempt_id % 6 WHEN 0 THEN '' WHEN 1 THEN '5' WHEN 2 THEN '0' WHEN 3 THEN 'abc' WHEN 4 THEN '100000'
+  ELSE ' 7 ' END AS requested
+FROM (SELECT DISTINCT user_id AS attempt_id FROM {events}) t
+"""
+
+BATCHES = """
+SELECT 1 AS batch, doc_id AS question_id, text AS question FROM {documents}
+UNION ALL SELECT 2 AS batch, item_id AS question_id, text AS question FROM {benchmark}
+"""
+
+MODULE_CATALOG = """
+SELECT DISTINCT source AS learning_path, concat(source, '-', lang) AS module FROM {documents}
+"""
+
+# one line per question; some are cut short, some lack or rename a key
+QUESTION_LINES = """
+SELECT doc_id AS question_id, CASE
+  WHEN doc_id % 29 = 0 THEN concat('{{"question": "', doc_id, '", "module": "')
+  WHEN doc_id % 13 = 0 THEN concat('{{"question": "', doc_id, '", "options": {{"A": "x"}}, "answer": "A", "module": "',
+    source, '", "learning_path": "', lang, '", "explanation": "e"}}')
+  ELSE concat('{{"question": "', doc_id, '", "options": {{"A": "x"}}, "correct_answer": "A", "module": "', source,
+    '", "learning_path": "', lang, '", "explanation": "e", "additional_notes": ""}}') END AS line
+FROM {documents}
+"""
+
+DERIVED.update({
+    "number_cases": NUMBER_CASES,
+    "selections": SELECTIONS,
+    "batches": BATCHES,
+    "module_catalog": MODULE_CATALOG,
+    "question_lines": QUESTION_LINES,
+})
