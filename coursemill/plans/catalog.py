@@ -128,14 +128,14 @@ def summary_roundtrip(spark, sf):
     path = new_path(spark, "summary")
     limits = Limits(paths=2, modules=3, units=4)
     files.write_summaries(publish.course_summary(_hierarchy(spark, sf, limits), limits, scraped_at=STAMP), path)
-    return _summary_columns(files.read_summaries(spark, path))
+    return _summary_columns(files.read_summaries(spark, path, multi_line=False))
 
 
 @register("summary_scan")
 def summary_scan(spark, sf):
     path = new_path(spark, "summary")
     rows = _hierarchy(spark, sf, extract_content=False)
-    files.write_summaries(publish.course_summary(rows, content_extracted=False, scraped_at=STAMP), path)
+    files.write_summary_files(publish.course_summary(rows, content_extracted=False, scraped_at=STAMP), path)
     return _summary_columns(files.read_summaries(spark, path))
 
 

@@ -139,7 +139,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
     if name not in DERIVED:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(DERIVED[name], **{t: table(spark, sf_dir, t) for t in inputs_of(name)})
+    derived = spark.sql(DERIVED[name], **{t: table(spark, sf_dir, t) for t in inputs_of(name)})
+    return spread(derived, "url") if name == "page_store" else derived
 
 
 def derived_ctes(*names: str) -> str:

@@ -59,9 +59,9 @@ def read_training(spark: SparkSession, root: str) -> DataFrame:
     return files.select("*", F.when(partition != "", partition).otherwise(named).alias("course_slug"))
 
 
-def read_summaries(spark: SparkSession, path: str) -> DataFrame:
-    """Pretty-printed single-object summary files."""
-    return spark.read.option("multiLine", "true").schema(SUMMARY).json(path)
+def read_summaries(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Summary files: one pretty-printed object each, or one object per line."""
+    return spark.read.option("multiLine", str(multi_line).lower()).schema(SUMMARY).json(path)
 
 
 def read_snapshot(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -139,9 +139,18 @@ def write_training(records: DataFrame, path: str) -> None:
 
 
 def write_summaries(summaries: DataFrame, path: str) -> None:
+    """Summaries, one per line; splits and scales like any JSONL."""
     summaries.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
+def write_summary_files(summaries: DataFrame, path: str) -> None:
+    """Summaries as one pretty-printed file per course, keyed by its URL."""
+    pretty = "map('pretty', 'true', 'ignoreNullFields', 'false')"
+    summaries.selectExpr(
+        "md5(course_url) AS course_key", f"to_json(struct(*), {pretty}) AS value"
+    ).write.mode("overwrite").partitionBy("course_key").text(path)
+
+
 def write_questions(questions: DataFrame, path: str, mode: str = "append") -> None:
     """Question JSONL, appended to or replacing what is there."""
     if mode not in ("append", "overwrite"):
