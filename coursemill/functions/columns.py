@@ -58,5 +58,5 @@ def first_int(text: str, pattern: str) -> str:
 
 
 def contains_any(text: str, words: Iterable[str]) -> str:
-    """True when ``text`` holds any of ``words`` as a substring."""
-    return f"({text} RLIKE {quote('|'.join(words))})"
+    """True when ``text`` holds any of ``words``; plain byte search, no regex."""
+    return "(" + " OR ".join(f"contains({text}, {quote(w)})" for w in words) + ")"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from coursemill.functions.columns import contains_any, strip
+from coursemill.functions.columns import contains_any, let, strip
 
 # Image classes and the substrings that decide them, in order.
 SRC_RULES = [
@@ -43,13 +43,20 @@ def _first_match(text: str, rules: list[tuple[str, list[str]]]) -> str:
 
 def image_type(src: str, alt: str) -> str:
     """Class of an image; the file name decides before the alt text."""
-    by_src = _first_match(f"lower({src})", SRC_RULES)
-    by_alt = _first_match(f"lower({alt})", ALT_RULES)
-    return f"CASE {by_src} {by_alt} ELSE '{DEFAULT_IMAGE_TYPE}' END"
+
+    def chain(lowered: str) -> str:
+        by_src = _first_match(f"{lowered}.src", SRC_RULES)
+        by_alt = _first_match(f"{lowered}.alt", ALT_RULES)
+        return f"CASE {by_src} {by_alt} ELSE '{DEFAULT_IMAGE_TYPE}' END"
+
+    return let(f"named_struct('src', lower({src}), 'alt', lower({alt}))", chain)
 
 
 def question_type(question: str) -> str:
-    return f"CASE {_first_match(f'lower({question})', QUESTION_CUES)} ELSE '{DEFAULT_QUESTION_TYPE}' END"
+    return let(
+        f"lower({question})",
+        lambda lowered: f"CASE {_first_match(lowered, QUESTION_CUES)} ELSE '{DEFAULT_QUESTION_TYPE}' END",
+    )
 
 
 def grade(percentage: str) -> str:

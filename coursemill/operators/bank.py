@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursemill.functions import rules
-from coursemill.functions.columns import quote, quoted, strip
+from coursemill.functions.columns import fresh, let, quote, quoted, strip
 from coursemill.operators import ordinals
 from coursemill.sources.staging import stage
 
@@ -226,16 +226,16 @@ _BLOCK = 4096
 
 def shingle_sets(questions: DataFrame, size: int = SHINGLE) -> DataFrame:
     """``(question_id, shingles ARRAY<BIGINT> sorted distinct, n)`` of whole texts."""
-    words = r"regexp_extract_all(lower(question), '[\\p{L}\\p{N}_]+', 0)"
-    return (
-        questions.selectExpr("question_id", f"{words} AS words")
-        .where("size(words) > 0")
-        .selectExpr(
-            "question_id",
-            f"""sort_array(array_distinct(transform(sequence(1, greatest(size(words) - {size - 1}, 1)),
-                i -> xxhash64(array_join(slice(words, i, {size}), ' '))))) AS shingles""",
-        )
-        .withColumn("n", F.size("shingles").cast("bigint"))
+    words = f"regexp_extract_all(lower(question), {quote('[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]+')}, 0)"
+
+    def shingles(w: str) -> str:
+        i = fresh("i")
+        gram = ", ".join(f"get({w}, {i} + {k})" for k in range(size))
+        hashed = f"transform(sequence(0, greatest(size({w}) - {size}, 0)), {i} -> xxhash64({gram}))"
+        return f"IF(size({w}) = 0, CAST(array() AS array<bigint>), sort_array(array_distinct({hashed})))"
+
+    return questions.selectExpr("question_id", f"{let(words, shingles)} AS shingles").selectExpr(
+        "question_id", "shingles", "CAST(size(shingles) AS BIGINT) AS n"
     )
 
 
@@ -250,12 +250,11 @@ def near_duplicates(questions: DataFrame, threshold: float = 0.8, size: int = SH
     grid of blocks, so no task receives a whole hot group, and every pair is
     still compared.
     """
-    sets = stage(
-        shingle_sets(questions, size).withColumn(
-            "set_key", F.expr("sha2(array_join(transform(shingles, s -> hex(s)), ''), 256)")
-        ),
-        "shingle-sets",
+    # two hashes with different seeds and the size identify a set
+    keyed = shingle_sets(questions, size).withColumn(
+        "set_key", F.expr("struct(n, xxhash64(shingles) AS h1, xxhash64(n, shingles) AS h2)")
     )
+    sets = stage(keyed, "shingle-sets").where("n > 0")
     owners = sets.groupBy("set_key").agg(F.min("question_id").alias("owner_id"))
     copies = (
         sets.select("question_id", "set_key")
@@ -263,20 +262,24 @@ def near_duplicates(questions: DataFrame, threshold: float = 0.8, size: int = SH
         .where("question_id <> owner_id")
         .selectExpr("owner_id AS question_id", "question_id AS similar_id", "1.0D AS jaccard")
     )
-    unique = sets.join(owners.selectExpr("owner_id AS question_id"), "question_id", "left_semi")
+    unique = stage(
+        sets.drop("set_key").join(owners.selectExpr("owner_id AS question_id"), "question_id", "left_semi"),
+        "unique-sets",
+    )
 
     tokens = unique.selectExpr("question_id", "n", "explode(shingles) AS shingle")
     # shingles of a single question can never meet
     shared = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     rarest_first = Window.partitionBy("question_id").orderBy("df", "shingle")
     # unshared shingles come first in the order, so they use up prefix places
-    prefix = (
+    prefix = stage(
         tokens.join(shared, "shingle")
         .withColumn("place", F.row_number().over(rarest_first))
         .withColumn("unshared", F.col("n") - F.count("*").over(Window.partitionBy("question_id")))
         .where(f"place + unshared <= n - ceil({threshold}D * n - 1e-9D) + 1")
         .withColumn("blocks", F.expr(f"CAST(ceil(df / {_BLOCK}) AS INT)"))
-        .withColumn("block", F.expr("CAST(pmod(xxhash64(question_id), blocks) AS INT)"))
+        .withColumn("block", F.expr("CAST(pmod(xxhash64(question_id), blocks) AS INT)")),
+        "prefixes",
     )
     left = prefix.selectExpr(
         "shingle", "block AS row_block", "explode(sequence(0, blocks - 1)) AS col_block",

@@ -135,8 +135,9 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a derived table as a DataFrame."""
-    if name == "pages":
-        return spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id")
+    keys = {"pages": "page_id", "documents": "doc_id"}
+    if name in keys:
+        return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), keys[name])
     if name not in DERIVED:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     derived = spark.sql(DERIVED[name], **{t: table(spark, sf_dir, t) for t in inputs_of(name)})
