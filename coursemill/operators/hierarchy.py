@@ -125,9 +125,9 @@ def structure_rows(seeds: DataFrame, facts: DataFrame, limits: Limits = Limits()
     ).withColumn("unit_selected", F.expr(Limits.selects("unit_ord", limits.units)))
 
 
-def with_unit_content(rows: DataFrame, facts: DataFrame) -> DataFrame:
-    """Join the extracted content of selected units."""
-    body = facts.selectExpr("url AS page_key", "fetched AS page_fetched", "html_bytes", *CONTENT_FIELDS)
+def with_unit_pages(rows: DataFrame, facts: DataFrame, fields: list[str]) -> DataFrame:
+    """Join fetch status, page size and the given content fields of selected units."""
+    body = facts.selectExpr("url AS page_key", "fetched AS page_fetched", "html_bytes", *fields)
     key = F.expr("""IF(unit_selected, unit_url, concat('-', coalesce(unit_url,
         concat_ws(' ', course_url, path_url, module_url))))""")
     return (
@@ -145,8 +145,15 @@ def course_hierarchy(
     site: str = urls.SITE,
     limits: Limits = Limits(),
     extract_content: bool = True,
+    look_up_units: bool = True,
 ) -> DataFrame:
-    """The whole hierarchy, one row per unit, for the seed courses."""
+    """The whole hierarchy, one row per unit, for the seed courses.
+
+    Without ``extract_content`` no content is built; without ``look_up_units``
+    unit pages are not joined at all.
+    """
     facts = stage(page_facts(pages, site, extract_content), "page-facts")
     rows = structure_rows(seeds, facts, limits)
-    return with_unit_content(rows, facts) if extract_content else rows
+    if not (extract_content or look_up_units):
+        return rows
+    return with_unit_pages(rows, facts, CONTENT_FIELDS if extract_content else [])

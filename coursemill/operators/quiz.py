@@ -2,7 +2,8 @@
 
 Answers have ``(event_id, attempt_id, ts, question_id, user_answer)``. One
 attempt may hold a large share of all answers: positions and running scores
-come from bucketed running sums, everything else combines map-side.
+come from bucketed running sums, everything else combines map-side and skips
+the positions.
 """
 
 from __future__ import annotations
@@ -100,25 +101,40 @@ def available_questions(selection: DataFrame, catalog: DataFrame) -> DataFrame:
 # --- Q2, J8, W4 ----------------------------------------------------------
 
 
-def clean_answers(answers: DataFrame) -> DataFrame:
-    """Normalised letter, accepted flag, and position among accepted answers."""
-    cleaned = answers.withColumn("answer", F.expr(rules.clean_answer("user_answer"))).withColumn(
+def _cleaned(answers: DataFrame) -> DataFrame:
+    return answers.withColumn("answer", F.expr(rules.clean_answer("user_answer"))).withColumn(
         "accepted", F.expr(f"answer IN ({quoted(LETTERS)})")
     )
+
+
+def clean_answers(answers: DataFrame) -> DataFrame:
+    """Normalised letter, accepted flag, and position among accepted answers."""
     numbered = ordinals.running_sum(
-        cleaned, ["attempt_id"], ["ts", "event_id"], ordinals.time_bucket("ts"),
+        _cleaned(answers), ["attempt_id"], ["ts", "event_id"], ordinals.time_bucket("ts"),
         F.col("accepted").cast("int"), "running",
     )
     return numbered.withColumn("position", F.expr("IF(accepted, running, NULL)")).drop("running")
 
 
-def score_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """Accepted answers against the key, with path and module."""
+def _against_key(accepted: DataFrame, questions: DataFrame) -> DataFrame:
     key = questions.select("question_id", "correct_answer", "learning_path", "module")
-    accepted = clean_answers(answers).where("accepted").selectExpr(
-        "attempt_id", "position", "ts", "question_id", "answer AS user_answer"
+    return (
+        accepted.where("accepted")
+        .drop("user_answer")
+        .withColumnRenamed("answer", "user_answer")
+        .join(key, "question_id")
+        .withColumn("correct", F.expr("user_answer = correct_answer"))
     )
-    return accepted.join(key, "question_id").withColumn("correct", F.expr("user_answer = correct_answer"))
+
+
+def graded_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """Accepted answers against the key; for totals, which need no position."""
+    return _against_key(_cleaned(answers), questions)
+
+
+def score_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """Accepted answers against the key, with their position in the attempt."""
+    return _against_key(clean_answers(answers), questions)
 
 
 def running_score(scored: DataFrame) -> DataFrame:
@@ -155,7 +171,7 @@ def attempt_status(scored: DataFrame) -> DataFrame:
     """Last session, questions done and score so far per attempt."""
     return scored.groupBy("attempt_id").agg(
         F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("last_session"),
-        F.max("position").alias("current_index"),
+        F.count("*").alias("current_index"),
         F.count_if("correct").alias("score"),
     )
 
@@ -214,22 +230,23 @@ def mistakes(scored: DataFrame, questions: DataFrame) -> DataFrame:
     )
 
 
-def wrong_by_path(scored: DataFrame) -> DataFrame:
-    """Wrong answers per path; an attempt without any has one perfect row."""
-    counts = scored.groupBy("attempt_id", "learning_path").agg(
-        F.count_if(~F.col("correct")).alias("n_wrong"), F.min(F.expr("IF(correct, NULL, position)")).alias("first_wrong")
+def wrong_by_path(graded: DataFrame) -> DataFrame:
+    """Wrong answers per path; an attempt without any has one perfect row.
+
+    The window runs over counts, at most one row per learning path.
+    """
+    counts = graded.groupBy("attempt_id", "learning_path").agg(
+        F.count_if(~F.col("correct")).alias("n_wrong"),
+        F.min(F.expr("IF(correct, NULL, struct(ts, event_id))")).alias("first_wrong"),
     )
-    wrong = counts.where("n_wrong > 0").withColumn("perfect", F.lit(False))
-    perfect = (
-        counts.groupBy("attempt_id")
-        .agg(F.sum("n_wrong").alias("n_wrong"))
-        .where("n_wrong = 0")
-        .selectExpr(
-            "attempt_id", "CAST(NULL AS STRING) AS learning_path", "n_wrong",
-            "CAST(NULL AS BIGINT) AS first_wrong", "true AS perfect",
-        )
+    attempt = Window.partitionBy("attempt_id")
+    return (
+        counts.withColumn("perfect", F.sum("n_wrong").over(attempt) == 0)
+        .withColumn("nth", F.row_number().over(attempt.orderBy("learning_path")))
+        .where("n_wrong > 0 OR (perfect AND nth = 1)")
+        .withColumn("learning_path", F.expr("IF(perfect, NULL, learning_path)"))
+        .drop("nth")
     )
-    return wrong.unionByName(perfect)
 
 
 def weak_paths(by_path: DataFrame) -> DataFrame:
@@ -240,17 +257,17 @@ def weak_paths(by_path: DataFrame) -> DataFrame:
     )
 
 
-def weak_modules(scored: DataFrame, shown: int = SHOWN_MODULES) -> DataFrame:
+def weak_modules(graded: DataFrame, shown: int = SHOWN_MODULES) -> DataFrame:
     """First modules to review per attempt and path, and how many more there are.
 
     Filtering the rank lets Spark keep only the top rows of each task before
     the shuffle; the count is its own combining aggregate.
     """
-    wrong = scored.where("NOT correct").select("attempt_id", "learning_path", "position", "module")
+    wrong = graded.where("NOT correct").select("attempt_id", "learning_path", "ts", "event_id", "module")
     keys = ["attempt_id", "learning_path"]
-    order = Window.partitionBy(*keys).orderBy("position")
+    order = Window.partitionBy(*keys).orderBy("ts", "event_id")
     first = wrong.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= shown)
     totals = wrong.groupBy(*keys).agg(F.count("*").alias("n_wrong"))
     return first.join(totals, keys).selectExpr(
-        *keys, "CAST(rank AS BIGINT) AS rank", "position", "module", f"greatest(n_wrong - {shown}, 0L) AS n_more"
+        *keys, "CAST(rank AS BIGINT) AS rank", "module", f"greatest(n_wrong - {shown}, 0L) AS n_more"
     )

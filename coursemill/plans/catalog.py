@@ -40,10 +40,16 @@ def _bank(spark: SparkSession, sf: str) -> DataFrame:
     return bank.with_options(table(spark, sf, "question_bank"))
 
 
-def _hierarchy(spark: SparkSession, sf: str, limits: Limits = Limits(), extract_content: bool = True) -> DataFrame:
-    return hierarchy.course_hierarchy(
-        table(spark, sf, "page_store"), table(spark, sf, "seeds"), BASE, limits, extract_content
-    )
+def _hierarchy(spark: SparkSession, sf: str, limits: Limits = Limits(), **mode: bool) -> DataFrame:
+    return hierarchy.course_hierarchy(table(spark, sf, "page_store"), table(spark, sf, "seeds"), BASE, limits, **mode)
+
+
+STRUCTURE_ONLY = {"extract_content": False, "look_up_units": False}
+NO_CONTENT = {"extract_content": False}
+
+
+def _graded(spark: SparkSession, sf: str) -> DataFrame:
+    return quiz.graded_answers(table(spark, sf, "answer_events"), table(spark, sf, "question_bank"))
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -120,21 +126,22 @@ def _summary_columns(summaries: DataFrame) -> DataFrame:
 
 @register("course_summary")
 def course_summary(spark, sf):
-    return _summary_columns(publish.course_summary(_hierarchy(spark, sf), scraped_at=STAMP))
+    return _summary_columns(publish.course_summary(_hierarchy(spark, sf, **STRUCTURE_ONLY), scraped_at=STAMP))
 
 
 @register("summary_roundtrip")
 def summary_roundtrip(spark, sf):
     path = new_path(spark, "summary")
     limits = Limits(paths=2, modules=3, units=4)
-    files.write_summaries(publish.course_summary(_hierarchy(spark, sf, limits), limits, scraped_at=STAMP), path)
+    rows = _hierarchy(spark, sf, limits, **STRUCTURE_ONLY)
+    files.write_summaries(publish.course_summary(rows, limits, scraped_at=STAMP), path)
     return _summary_columns(files.read_summaries(spark, path, multi_line=False))
 
 
 @register("summary_scan")
 def summary_scan(spark, sf):
     path = new_path(spark, "summary")
-    rows = _hierarchy(spark, sf, extract_content=False)
+    rows = _hierarchy(spark, sf, **STRUCTURE_ONLY)
     files.write_summary_files(publish.course_summary(rows, content_extracted=False, scraped_at=STAMP), path)
     return _summary_columns(files.read_summaries(spark, path))
 
@@ -269,29 +276,32 @@ def course_hierarchy(spark, sf):
 
 @register("merge_titles")
 def merge_titles(spark, sf):
-    rows = _hierarchy(spark, sf, extract_content=False)
+    rows = _hierarchy(spark, sf, **STRUCTURE_ONLY)
     return rows.select("path_url", "path_title", "module_url", "module_title").distinct()
 
 
 @register("fetch_failures")
 def fetch_failures(spark, sf):
-    return _hierarchy(spark, sf).groupBy("course_url", "path_status", "module_status", "unit_status").agg(
+    rows = _hierarchy(spark, sf, **NO_CONTENT)
+    return rows.groupBy("course_url", "path_status", "module_status", "unit_status").agg(
         F.count("*").alias("n")
     )
 
 
 @register("limited_expand")
 def limited_expand(spark, sf):
-    return _hierarchy(spark, sf, Limits(paths=2, modules=3, units=4)).select(*STRUCTURE_COLUMNS, "unit_status")
+    rows = _hierarchy(spark, sf, Limits(paths=2, modules=3, units=4), **NO_CONTENT)
+    return rows.select(*STRUCTURE_COLUMNS, "unit_status")
 
 
 @register("structure_only")
 def structure_only(spark, sf):
-    return _hierarchy(spark, sf, extract_content=False).select(*STRUCTURE_COLUMNS)
+    return _hierarchy(spark, sf, **STRUCTURE_ONLY).select(*STRUCTURE_COLUMNS)
 
 
 def _resume_inputs(spark, sf, with_content: bool):
-    rows = _hierarchy(spark, sf, extract_content=with_content).where("unit_url IS NOT NULL")
+    mode = {} if with_content else STRUCTURE_ONLY
+    rows = _hierarchy(spark, sf, **mode).where("unit_url IS NOT NULL")
     keep = ["course_url", "unit_ord", "unit_url", *resume.TITLES, *(["content"] if with_content else [])]
     snapshot = table(spark, sf, "unit_snapshot").withColumnRenamed("page_id", "ord")
     return rows.select(*keep), snapshot
@@ -566,17 +576,17 @@ def running_score(spark, sf):
 
 @register("quiz_result")
 def quiz_result(spark, sf):
-    return quiz.rounded(quiz.results(_scored(spark, sf)))
+    return quiz.rounded(quiz.results(_graded(spark, sf)))
 
 
 @register("quiz_grade")
 def quiz_grade(spark, sf):
-    return quiz.grades(quiz.results(_scored(spark, sf))).select("attempt_id", "grade")
+    return quiz.grades(quiz.results(_graded(spark, sf))).select("attempt_id", "grade")
 
 
 @register("attempt_status")
 def attempt_status(spark, sf):
-    return quiz.attempt_status(_scored(spark, sf))
+    return quiz.attempt_status(_graded(spark, sf))
 
 
 @register("progress_load")
@@ -617,17 +627,17 @@ def mistake_review(spark, sf):
 
 @register("wrong_by_path")
 def wrong_by_path(spark, sf):
-    return quiz.wrong_by_path(_scored(spark, sf)).select("attempt_id", "learning_path", "n_wrong", "perfect")
+    return quiz.wrong_by_path(_graded(spark, sf)).select("attempt_id", "learning_path", "n_wrong", "perfect")
 
 
 @register("weak_paths")
 def weak_paths(spark, sf):
-    return quiz.weak_paths(quiz.wrong_by_path(_scored(spark, sf)))
+    return quiz.weak_paths(quiz.wrong_by_path(_graded(spark, sf)))
 
 
 @register("weak_modules")
 def weak_modules(spark, sf):
-    return quiz.weak_modules(_scored(spark, sf))
+    return quiz.weak_modules(_graded(spark, sf))
 
 
 # --- streaming -----------------------------------------------------------
