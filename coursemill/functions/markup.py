@@ -269,7 +269,7 @@ def _root_position(items: str) -> str:
 
     def first(name: str) -> str:
         i = fresh("i")
-        return f"get(filter({items}, {i} -> {i}.kind = 'open' AND {i}.tag = '{name}'), 0).pos"
+        return f"get(filter({items}, {i} -> {i}.kind IN ('open', 'void') AND {i}.tag = '{name}'), 0).pos"
 
     return f"coalesce({first('main')}, {first('article')}, -1)"
 
