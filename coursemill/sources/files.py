@@ -122,9 +122,11 @@ def balanced(df: DataFrame, *keys: str) -> DataFrame:
 def write_complete(lines: DataFrame, path: str) -> None:
     """Complete course documents, one folder per course.
 
-    Part files of a course, read in name order, are one JSON object.
+    Part files of a course, read in name order, are one JSON object. The sort
+    starts with the partition column, or the writer would sort once more.
     """
-    ordered = lines.repartitionByRange(*LINE_KEY).sortWithinPartitions(*LINE_KEY)
+    order = ["course_slug", *LINE_KEY]
+    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.select("course_slug", "line").write.mode("overwrite").partitionBy("course_slug").text(path)
 
 
