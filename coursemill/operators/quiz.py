@@ -109,40 +109,38 @@ def _cleaned(answers: DataFrame) -> DataFrame:
 
 def clean_answers(answers: DataFrame) -> DataFrame:
     """Normalised letter, accepted flag, and position among accepted answers."""
-    numbered = ordinals.running_sum(
+    numbered = ordinals.running_sums(
         _cleaned(answers), ["attempt_id"], ["ts", "event_id"], ordinals.time_bucket("ts"),
-        F.col("accepted").cast("int"), "running",
+        {"running": F.col("accepted").cast("int")},
     )
     return numbered.withColumn("position", F.expr("IF(accepted, running, NULL)")).drop("running")
 
 
-def _against_key(accepted: DataFrame, questions: DataFrame) -> DataFrame:
+def graded_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
+    """Accepted answers against the key; enough for totals, which need no position."""
     key = questions.select("question_id", "correct_answer", "learning_path", "module")
+    accepted = _cleaned(answers).where("accepted").drop("user_answer", "accepted")
     return (
-        accepted.where("accepted")
-        .drop("user_answer")
-        .withColumnRenamed("answer", "user_answer")
+        accepted.withColumnRenamed("answer", "user_answer")
         .join(key, "question_id")
         .withColumn("correct", F.expr("user_answer = correct_answer"))
     )
 
 
-def graded_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """Accepted answers against the key; for totals, which need no position."""
-    return _against_key(_cleaned(answers), questions)
-
-
 def score_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
-    """Accepted answers against the key, with their position in the attempt."""
-    return _against_key(clean_answers(answers), questions)
+    """Graded answers with position in the attempt and score after each of them.
+
+    Both running columns come from the same pass.
+    """
+    return ordinals.running_sums(
+        graded_answers(answers, questions), ["attempt_id"], ["ts", "event_id"], ordinals.time_bucket("ts"),
+        {"position": F.lit(1), "score": F.col("correct").cast("int")},
+    )
 
 
 def running_score(scored: DataFrame) -> DataFrame:
-    """Score after every answer."""
-    return ordinals.running_sum(
-        scored.select("attempt_id", "position", "correct", "ts"),
-        ["attempt_id"], ["position"], ordinals.id_bucket("position"), F.col("correct").cast("int"), "score",
-    )
+    """State after every answer."""
+    return scored.select("attempt_id", "position", "correct", "score", "ts")
 
 
 # --- A5, A6, Q6, K5, S6, Q7 ----------------------------------------------

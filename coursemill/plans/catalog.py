@@ -645,13 +645,13 @@ def weak_modules(spark, sf):
 
 @register("stream_ingest")
 def stream_ingest(spark, sf):
-    """Pages arrive as files; the same files offered again add nothing."""
-    source, out = new_path(spark, "arriving"), new_path(spark, "published")
+    """Pages arrive as files; offered a second time they add nothing."""
+    source, out, checkpoint = (new_path(spark, n) for n in ("arriving", "published", "ingest-checkpoint"))
     pages = table(spark, sf, "pages")
-    pages.write.parquet(source)
-    for run in ("first", "again"):
-        stream = ingest.read_page_stream(spark, source)
-        ingest.start_ingest(stream, out, new_path(spark, f"ingest-{run}"), BASE).awaitTermination()
+    for _ in range(2):
+        pages.write.mode("append").parquet(source)
+        units = ingest.new_units(ingest.read_page_stream(spark, source), BASE)
+        ingest.start_ingest(units, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).selectExpr("page_id", "url", "md5(content) AS content_md5")
 
 

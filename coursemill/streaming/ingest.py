@@ -1,15 +1,14 @@
 """Incremental unit ingest: every new page is extracted once.
 
-Files of new pages arrive in a folder. Each micro-batch drops the URLs already
-published, extracts the rest and writes its own partition, so a repeated batch
-replaces its own output and nothing else. The checkpoint is the resume point.
+Files of new pages arrive in a folder. Pages are extracted where they are read,
+and only the small records are shuffled to the state that remembers published
+URLs. The cost of a batch follows the batch, not what was published before; the
+checkpoint is the resume point and the file sink writes each record once.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from coursemill.functions import urls
 from coursemill.operators import content
@@ -22,32 +21,21 @@ def read_page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000
     return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def published(spark: SparkSession, out: str, before_batch: int) -> DataFrame | None:
-    """URLs published by earlier batches; None before the first one."""
-    try:
-        return spark.read.parquet(out).where(F.col("batch_id") < before_batch).select("url")
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
-        return None
+def new_units(pages: DataFrame, site: str = urls.SITE, published: DataFrame | None = None) -> DataFrame:
+    """Extracted units of pages not seen before.
 
+    ``published`` holds the ``url`` of units that an earlier run stored.
+    """
+    arrived = pages.where("html IS NOT NULL")
+    fresh = arrived if published is None else arrived.join(published.select("url"), "url", "left_anti")
+    return content.unit_content(fresh, site).dropDuplicates(["url"])
 
-def publish_batch(batch: DataFrame, batch_id: int, out: str, site: str) -> None:
-    """Extract the unpublished pages of one batch into its partition."""
-    spark = batch.sparkSession
-    # a URL that arrives twice in a batch is taken once, by page id
-    firsts = batch.where("html IS NOT NULL").groupBy("url").agg(F.min("page_id").alias("page_id"))
-    done = published(spark, out, batch_id)
-    fresh = firsts if done is None else firsts.join(done, "url", "left_anti")
-    todo = batch.join(fresh, ["url", "page_id"], "left_semi")
-    content.unit_content(todo, site).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-
-def start_ingest(pages: DataFrame, out: str, checkpoint: str, site: str = urls.SITE):
-    """Start the ingest over everything available; returns the query."""
+def start_ingest(units: DataFrame, out: str, checkpoint: str):
+    """Process everything available and append it to ``out``; returns the query."""
     return (
-        pages.writeStream.trigger(availableNow=True)
+        units.writeStream.trigger(availableNow=True)
+        .format("parquet")
         .option("checkpointLocation", checkpoint)
-        .foreachBatch(lambda batch, batch_id: publish_batch(batch, batch_id, out, site))
-        .start()
+        .start(out)
     )

@@ -28,7 +28,7 @@ def test_running_sum_with_a_hot_group_equals_a_window(spark):
         "id * 37 % 1000003 AS k", "IF(id % 3 = 0, NULL, IF(id % 3 = 1, 'hot', concat('g', id % 50))) AS g",
         "id % 7 AS v",
     )
-    ours = ordinals.running_sum(df, ["g"], ["k"], F.floor(F.col("k") / 5000), F.col("v"), "s")
+    ours = ordinals.running_sums(df, ["g"], ["k"], F.floor(F.col("k") / 5000), {"s": F.col("v")})
     plain = df.withColumn(
         "s", F.sum("v").over(Window.partitionBy("g").orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
     )

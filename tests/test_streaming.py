@@ -11,30 +11,31 @@ def test_ingest_takes_every_page_once(spark, sf_dir, tmp_path):
     source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
     pages = table(spark, sf_dir, "pages")
 
-    def run(check=checkpoint):
-        ingest.start_ingest(ingest.read_page_stream(spark, source), out, check).awaitTermination()
+    def run():
+        units = ingest.new_units(ingest.read_page_stream(spark, source))
+        ingest.start_ingest(units, out, checkpoint).awaitTermination()
         return spark.read.parquet(out)
 
     pages.where("page_id < 20").coalesce(1).write.mode("append").parquet(source)
     assert run().count() == 20
     assert run().count() == 20  # nothing new
-    # the second arrival repeats known pages and brings failed ones
+    # the second arrival repeats known pages, holds copies and brings a failed page
     later = pages.withColumn("html", F.expr("IF(page_id = 49, NULL, html)")).where("page_id >= 10")
-    later.coalesce(1).write.mode("append").parquet(source)
-    assert run().count() == 49
-    assert spark.read.parquet(out).select("url").distinct().count() == 49
+    later.unionByName(later).coalesce(1).write.mode("append").parquet(source)
+    published = run()
+    assert published.count() == published.select("url").distinct().count() == 49
+    expected = content.unit_content(pages.where("page_id <> 49")).select("page_id", "content")
+    assert published.select("page_id", "content").exceptAll(expected).count() == 0
 
 
-def test_repeated_batch_replaces_itself(spark, sf_dir, tmp_path):
-    out = str(tmp_path / "out")
+def test_ingest_skips_units_of_an_earlier_run(spark, sf_dir, tmp_path):
+    source, out, checkpoint = (str(tmp_path / n) for n in ("in", "out", "check"))
     pages = table(spark, sf_dir, "pages")
-    for _ in range(2):
-        ingest.publish_batch(pages, 0, out, "https://h.org")
-    ingest.publish_batch(pages.unionByName(pages.withColumn("page_id", F.col("page_id") + 1000)), 1, out, "https://h.org")
-    published = spark.read.parquet(out).drop("batch_id")
-    assert published.count() == pages.count()
-    expected = content.unit_content(pages, "https://h.org").select("page_id", "content")
-    assert published.select("page_id", "content").exceptAll(expected).count() == 0
+    pages.coalesce(1).write.parquet(source)
+    earlier = pages.where("page_id < 30").select("url")
+    units = ingest.new_units(ingest.read_page_stream(spark, source), published=earlier)
+    ingest.start_ingest(units, out, checkpoint).awaitTermination()
+    assert {r.page_id for r in spark.read.parquet(out).collect()} == set(range(30, 50))
 
 
 def test_scores_accumulate_over_batches(spark, sf_dir, tmp_path):
