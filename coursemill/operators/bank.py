@@ -276,22 +276,28 @@ def near_duplicates(questions: DataFrame, threshold: float = 0.8, size: int = SH
         tokens.join(shared, "shingle")
         .withColumn("place", F.row_number().over(rarest_first))
         .withColumn("unshared", F.col("n") - F.count("*").over(Window.partitionBy("question_id")))
-        .where(f"place + unshared <= n - ceil({threshold}D * n - 1e-9D) + 1")
+        .withColumn("place", F.col("place") + F.col("unshared"))
+        .where(f"place <= n - ceil({threshold}D * n - 1e-9D) + 1")
         .withColumn("blocks", F.expr(f"CAST(ceil(df / {_BLOCK}) AS INT)"))
         .withColumn("block", F.expr("CAST(pmod(xxhash64(question_id), blocks) AS INT)")),
         "prefixes",
     )
     left = prefix.selectExpr(
         "shingle", "block AS row_block", "explode(sequence(0, blocks - 1)) AS col_block",
-        "question_id AS a", "n AS n_a",
+        "question_id AS a", "n AS n_a", "place AS place_a",
     )
     right = prefix.selectExpr(
         "shingle", "explode(sequence(0, blocks - 1)) AS row_block", "block AS col_block",
-        "question_id AS b", "n AS n_b",
+        "question_id AS b", "n AS n_b", "place AS place_b",
     )
     candidates = (
         left.join(right.hint("merge"), ["shingle", "row_block", "col_block"])
         .where(f"a < b AND least(n_a, n_b) >= {threshold}D * greatest(n_a, n_b) - 1e-9D")
+        # what follows the first shared place must still suffice for the threshold
+        .where(
+            "1 + least(n_a - place_a, n_b - place_b) >= "
+            f"{threshold}D / (1 + {threshold}D) * (n_a + n_b) - 1e-9D"
+        )
         .select("a", "b")
         .distinct()
     )
