@@ -23,6 +23,10 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+# Spark type -> DuckDB type
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN"}
+
+
 def normal(value):
     if isinstance(value, float):
         return "nan" if math.isnan(value) else round(value, 9)
@@ -43,6 +47,10 @@ def compare(spark, con, name: str, query, sql: str, sf_dir: str) -> str | None:
     theirs = rows_of(names, cursor.fetchall())
     if sorted(names) != sorted(df.columns):
         return f"{name}: columns {sorted(df.columns)} != {sorted(names)}"
+    types = {d[0]: str(d[1]) for d in cursor.description}
+    wrong = {c: (t, types[c]) for c, t in df.dtypes if TYPES.get(t) != types[c]}
+    if wrong:
+        return f"{name}: types {wrong}"
     if ours == theirs:
         return None
     left, right = ours - theirs, theirs - ours
