@@ -8,6 +8,7 @@ tags with a stack. No token is shuffled, and cost is linear in the page.
 from __future__ import annotations
 
 import html.entities
+from collections.abc import Callable
 
 from coursemill.functions.columns import fresh, let, quote, quoted, strip
 
@@ -252,7 +253,7 @@ def _step(s: str, i: str, root: str) -> str:
 
 
 def _items(raws: str) -> str:
-    """Classified tokens; text is decoded and stripped here, once."""
+    """Classified tokens that matter to the fold; text is decoded and stripped here, once."""
     raw, pos = fresh("raw"), fresh("pos")
 
     def item(tag: str) -> str:
@@ -261,7 +262,12 @@ def _items(raws: str) -> str:
             "raw": f"IF({kind} = 'text', {strip(let(raw, decode_entities))}, {raw})",
         }))
 
-    return f"transform({raws}, ({raw}, {pos}) -> {let(tag_name(raw), item)})"
+    classified = f"transform({raws}, ({raw}, {pos}) -> {let(tag_name(raw), item)})"
+    # what the fold would only step over: blank text, comments, scripts, plain void tags
+    i = fresh("i")
+    matters = f"""CASE {i}.kind WHEN 'open' THEN true WHEN 'close' THEN true WHEN 'text' THEN {i}.raw <> ''
+        WHEN 'void' THEN {i}.tag IN ({quoted(['img', *TRACKED_TAGS])}) ELSE false END"""
+    return f"filter({classified}, {i} -> {matters})"
 
 
 def _root_position(items: str) -> str:
@@ -274,7 +280,7 @@ def _root_position(items: str) -> str:
     return f"coalesce({first('main')}, {first('article')}, -1)"
 
 
-def _fold(items: str, root: str) -> str:
+def _fold(items: str, root: str, n: str) -> str:
     """Fold the token list into STRUCT<root, n, texts, elements, images>.
 
     The list is folded in chunks so that growing output arrays are copied once
@@ -290,10 +296,10 @@ def _fold(items: str, root: str) -> str:
     merged = let(folded, lambda done: _struct({
         "state": done, **{o: f"concat({acc}.{o}, array({done}.{o}))" for o in _OUTPUT},
     }))
-    left_open = _close_entries(f"{f}.state.stack", f"size({items})", f"{f}.state.n_text")
+    left_open = _close_entries(f"{f}.state.stack", n, f"{f}.state.n_text")
     finish = _struct({
         "root": root,
-        "n": f"size({items})",
+        "n": n,
         "texts": f"flatten({f}.texts)",
         "elements": f"sort_array(concat(flatten({f}.elements), {left_open}))",
         "images": f"flatten({f}.images)",
@@ -302,12 +308,18 @@ def _fold(items: str, root: str) -> str:
     return f"aggregate({chunks}, {outer}, ({acc}, {k}) -> {merged}, {f} -> {finish})"
 
 
-def _whole(items: str) -> str:
-    return let("-2", lambda root: _fold(items, root))
+def _whole(items: str, n: str) -> str:
+    return let("-2", lambda root: _fold(items, root, n))
 
 
-def _clean(items: str) -> str:
-    return let(_root_position(items), lambda root: _fold(items, root))
+def _clean(items: str, n: str) -> str:
+    return let(_root_position(items), lambda root: _fold(items, root, n))
+
+
+def _parse(page: str, view: Callable[[str, str], str]) -> str:
+    """Tokenise a page once and hand its items and token count to ``view``."""
+    parsed = let(tokens(page), lambda raws: let(_items(raws), lambda items: view(items, f"size({raws})")))
+    return f"CASE WHEN {page} IS NOT NULL THEN {parsed} END"
 
 
 def document(page: str, clean: bool) -> str:
@@ -319,14 +331,12 @@ def document(page: str, clean: bool) -> str:
     are gone, as content extraction wants; without it the page is left whole,
     as link and title extraction want.
     """
-    view = _clean if clean else _whole
-    return f"CASE WHEN {page} IS NOT NULL THEN {let(_items(tokens(page)), view)} END"
+    return _parse(page, _clean if clean else _whole)
 
 
 def documents(page: str) -> str:
     """Both views of a page, STRUCT<whole, clean>, from one tokenisation."""
-    both = let(_items(tokens(page)), lambda i: _struct({"whole": _whole(i), "clean": _clean(i)}))
-    return f"CASE WHEN {page} IS NOT NULL THEN {both} END"
+    return _parse(page, lambda items, n: _struct({"whole": _whole(items, n), "clean": _clean(items, n)}))
 
 
 def elements_of(doc: str, tags: list[str]) -> str:

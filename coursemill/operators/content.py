@@ -26,10 +26,8 @@ def _inside(root: str, item: str) -> str:
 
 
 def text(doc: str, root: str) -> str:
-    """Non-empty text nodes of the root, one per line."""
-    t = fresh("t")
-    inside = f"slice({doc}.texts, {root}.t0 + 1, {root}.t1 - {root}.t0)"
-    return f"array_join(filter({inside}, {t} -> {t} <> ''), '\\n')"
+    """Text nodes of the root, one per line; blank ones are gone since parsing."""
+    return f"array_join(slice({doc}.texts, {root}.t0 + 1, {root}.t1 - {root}.t0), '\\n')"
 
 
 def headings(doc: str, root: str) -> str:
@@ -140,13 +138,8 @@ def root_spans(pages: DataFrame) -> DataFrame:
 
 def kept_text(pages: DataFrame) -> DataFrame:
     """Text nodes left in the root after boilerplate removal, one row each."""
-    t = fresh("t")
-
     def nodes(doc: str) -> str:
-        return let(
-            _root(doc),
-            lambda r: f"filter(slice({doc}.texts, {r}.t0 + 1, {r}.t1 - {r}.t0), {t} -> {t} <> '')",
-        )
+        return let(_root(doc), lambda r: f"slice({doc}.texts, {r}.t0 + 1, {r}.t1 - {r}.t0)")
 
     exploded = pages.selectExpr("page_id", f"posexplode({let(markup.document('html', True), nodes)}) AS (pos, text)")
     return exploded.selectExpr("page_id", "CAST(pos AS BIGINT) AS ord", "text")

@@ -23,18 +23,12 @@ def html_tokens(pages: DataFrame) -> DataFrame:
 
 def text_nodes(pages: DataFrame) -> DataFrame:
     """Decoded, stripped text nodes ``(page_id, ord, text)`` outside scripts."""
-    t = fresh("t")
-    texts = let(f"({markup.document('html', clean=False)}).texts", lambda x: f"filter({x}, {t} -> {t} <> '')")
+    texts = f"({markup.document('html', clean=False)}).texts"
     return pages.selectExpr("page_id", f"posexplode({texts}) AS (pos, text)").selectExpr(
         "page_id", "CAST(pos AS BIGINT) AS ord", "text"
     )
 
 
-def parsed(pages: DataFrame, clean: bool, *keep: str) -> DataFrame:
-    """Pages with their parsed document in ``doc``."""
-    return pages.selectExpr(*keep, f"{markup.document('html', clean)} AS doc")
-
-
 def elements(pages: DataFrame, tags: list[str] | None = None) -> DataFrame:
     """Element spans ``(page_id, pos, tag, stop, text, raw)``."""
     e = fresh("e")

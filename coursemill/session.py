@@ -11,6 +11,8 @@ SETTINGS = {
     # hot join keys are split at run time, also when that costs a later shuffle
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # parquet text unpacks to several times its size: count that before broadcasting
+    "spark.sql.sources.fileCompressionFactor": "4.0",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
 }
 
