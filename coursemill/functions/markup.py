@@ -13,12 +13,13 @@ from collections.abc import Callable
 from coursemill.functions.columns import fresh, let, quote, quoted, strip
 
 # Comments, opaque script/style blocks and tags are one token each. The text
-# alternative swallows stray '<' so that one text node is one token.
+# alternative swallows stray '<' so that one text node is one token. Possessive
+# loops match without recursion, so a tag or text of any size is safe.
 TOKEN_PATTERN = (
     r"(?is)<!--.*?-->"
     r"|<script\b.*?(?:</script\s*>|\z)"
     r"|<style\b.*?(?:</style\s*>|\z)"
-    r"""|</?[a-z][^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*>"""
+    r"""|</?[a-z][^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+>"""
     r"|<[!?][^>]*>"
     r"|(?:[^<]++|<(?![a-z/!?]))++"
     r"|<"
@@ -132,18 +133,21 @@ def decode_entities(text: str) -> str:
 def attribute(raw: str, name: str) -> str:
     """Decoded attribute value of a tag token; '' when absent or empty.
 
-    Walks whole attributes, so a name inside another attribute's value or at
-    the end of a longer name (``data-src``) never matches.
+    Reads whole attributes, so a name inside another attribute's value or at
+    the end of a longer name (``data-src``) never matches. The last of several
+    attributes with one name counts.
     """
-    value = r"""(?:"[^"]*"|'[^']*'|[^\s>"']*)"""
-    pattern = quote(
-        rf"(?is)^<[^\s/>]+(?:(?>[\s/]+[^\s=/>]+(?:\s*=\s*{value})?))*[\s/]+{name}\s*=\s*({value})"
-    )
+    value = r"""(?:"[^"]*+"|'[^']*+'|[^\s>"']*+)"""
+    one = quote(rf"[\s/]++[^\s=/>]++(?:\s*+=\s*+{value})?+")
+    named = quote(rf"(?is)^[\s/]++{name}\s*+=\s*+({value})$")
+    a = fresh("a")
+    attributes = f"regexp_extract_all(regexp_replace({raw}, '^<[^\\\\s/>]+', ''), {one}, 0)"
+    last = f"coalesce(try_element_at(filter({attributes}, {a} -> {a} RLIKE {named}), -1), '')"
 
     def unquote(v: str) -> str:
         return f"CASE WHEN {v} RLIKE '^[\"\\']' THEN substr({v}, 2, length({v}) - 2) ELSE {v} END"
 
-    found = let(f"regexp_extract({raw}, {pattern}, 1)", unquote)
+    found = let(f"regexp_extract({last}, {named}, 1)", unquote)
     return f"CASE WHEN contains(lower({raw}), {quote(name)}) THEN {let(found, decode_entities)} ELSE '' END"
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from coursemill.functions.columns import WHITESPACE, contains_any, first_int, fresh, let, quote
 
-# Fixed value: default site the relative links are resolved against.
+# Default site and folders that relative links are resolved against.
 SITE = "https://learn.microsoft.com"
 LOCALE = "/en-us/"
 TRAINING = "/en-us/training"

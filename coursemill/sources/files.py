@@ -98,7 +98,8 @@ def snapshot_units(snapshot: DataFrame) -> DataFrame:
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their 1-based number in the file.
 
-    Numbers are counted per file split and offset by the splits before it.
+    Numbers are counted per file split and offset by the splits before it; a
+    split is read by one task, so its sequence follows the lines.
     """
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -106,9 +107,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
         F.monotonically_increasing_id().alias("seq"),
         F.col("value").alias("line"),
     )
-    # the sequence is only valid in the scan that made it, so it is kept
-    kept = lines.persist()
-    return ordinals.row_number(kept, ["file"], ["seq"], F.col("block"), "line_no").select("file", "line_no", "line")
+    return ordinals.row_number(lines, ["file"], ["seq"], F.col("block"), "line_no").select("file", "line_no", "line")
 
 
 # --- K1-K4, K7 -----------------------------------------------------------

@@ -73,7 +73,9 @@ def test_long_page_and_long_token(spark):
     wide = f'<main><img src="data:{"x" * 2_000_000}"><script>{"y" * 1_000_000}</script><p>end</p></main>'
     deep = "<main>" + "<b>" * 3000 + "x" + "</b>" * 3000 + "</main>"
     text = "<main>" + "a < b " * 100_000 + "</main>"
-    df = pages(spark, [many, wide, deep, text])
+    crowded = "<main><a " + "x='1' " * 50_000 + "href='z'>link</a></main>"
+    df = pages(spark, [many, wide, deep, text, crowded])
+    assert [l.url for l in content.unit_content(df).where("page_id = 4").first().links] == ["z"]
     got = [r.content for r in content.unit_content(df, fields=["content"]).orderBy("page_id").collect()]
     assert got[0].split("\n") == [f"item {i}" for i in range(5000)]
     assert got[1:3] == ["end", "x"]
@@ -101,7 +103,7 @@ def test_attributes(spark):
     cases = {
         '<a href="x">': "x", "<a href='y z'>": "y z", "<a class=k href=v>": "v", "<a>": "", "<a href>": "",
         '<a data-href="n">': "", '<a title="href=\'no\'" href="yes">': "yes", '<A HREF="Up&amp;q">': "Up&q",
-        '<a href="">': "", '<a\nhref = "s">': "s",
+        '<a href="">': "", '<a\nhref = "s">': "s", "<a href=1 href='2'>": "2", "<a x/href=3>": "3",
     }
     df = spark.createDataFrame([(k,) for k in cases], "t STRING").selectExpr("t", f"{markup.attribute('t', 'href')} AS v")
     assert {r.t: r.v for r in df.collect()} == cases
