@@ -154,10 +154,13 @@ def attribute(raw: str, name: str) -> str:
 # --- T3/T4 element spans -------------------------------------------------
 
 _ENTRY = {
-    "pos": "int", "tag": "string", "raw": "string", "t0": "int", "kept": "boolean",
+    "pos": "int", "tag": "string", "raw": "string", "t0": "int", "a0": "int", "kept": "boolean",
     "figure": "int", "dropped": "int", "muted": "int", "inroot": "boolean",
 }
-_ELEMENT = {"pos": "int", "tag": "string", "raw": "string", "t0": "int", "t1": "int", "stop": "int"}
+_ELEMENT = {
+    "pos": "int", "tag": "string", "raw": "string", "t0": "int", "t1": "int", "a0": "int", "a1": "int",
+    "stop": "int", "kept": "boolean",
+}
 _IMAGE = {"pos": "int", "raw": "string", "headings": "int", "paragraphs": "int", "figure": "int"}
 
 
@@ -165,10 +168,14 @@ def _array_of(fields: dict[str, str]) -> str:
     return "array<struct<" + ",".join(f"{f}:{t}" for f, t in fields.items()) + ">>"
 
 
-_OUTPUT = {"texts": "array<string>", "elements": _array_of(_ELEMENT), "images": _array_of(_IMAGE)}
+# n_text counts the texts that are kept, n_all also those in dropped subtrees
+_OUTPUT = {
+    "texts": "array<string>", "all_texts": "array<string>",
+    "elements": _array_of(_ELEMENT), "images": _array_of(_IMAGE),
+}
 _STATE = {
-    "stack": _array_of(_ENTRY), "dropped": "int", "muted": "int", "inroot": "boolean",
-    "n_text": "int", "headings": "int", "paragraphs": "int", "figures": "int", **_OUTPUT,
+    "stack": _array_of(_ENTRY), "dropped": "int", "muted": "int", "inroot": "boolean", "n_text": "int",
+    "n_all": "int", "headings": "int", "paragraphs": "int", "figures": "int", **_OUTPUT,
 }
 
 
@@ -184,15 +191,16 @@ def _empty(array_type: str) -> str:
     return f"CAST(array() AS {array_type})"
 
 
-def _element(entry: str, stop: str, t1: str) -> str:
-    same = {f: f"{entry}.{f}" for f in ("pos", "tag", "raw", "t0")}
-    return _struct({**same, "t1": t1, "stop": stop})
+def _element(entry: str, stop: str, state: str) -> str:
+    same = {f: f"{entry}.{f}" for f in ("pos", "tag", "raw", "t0", "a0", "kept")}
+    ends = {"t1": f"{state}.n_text", "a1": f"{state}.n_all", "stop": stop}
+    return _struct({f: (same | ends)[f] for f in _ELEMENT})
 
 
-def _close_entries(entries: str, stop: str, t1: str) -> str:
+def _close_entries(entries: str, stop: str, state: str) -> str:
     e = fresh("e")
-    kept = f"filter({entries}, {e} -> {e}.kept AND {e}.tag IN ({quoted(TRACKED_TAGS)}))"
-    return f"transform({kept}, {e} -> {_element(e, stop, t1)})"
+    tracked = f"filter({entries}, {e} -> {e}.tag IN ({quoted(TRACKED_TAGS)}))"
+    return f"transform({tracked}, {e} -> {_element(e, stop, state)})"
 
 
 def _step(s: str, i: str, root: str) -> str:
@@ -209,12 +217,22 @@ def _step(s: str, i: str, root: str) -> str:
     }
     enclosing_figure = f"coalesce(get({s}.stack, size({s}.stack) - 1).figure, 0)"
     inroot = f"({s}.inroot OR {i}.pos = {root})"
+    here = {
+        "pos": f"{i}.pos", "tag": f"{i}.tag", "raw": f"{i}.raw",
+        "t0": f"{s}.n_text", "a0": f"{s}.n_all", "kept": visible,
+    }
     entry = _struct({
-        "pos": f"{i}.pos", "tag": f"{i}.tag", "raw": f"{i}.raw", "t0": f"{s}.n_text", "kept": visible,
+        **here,
         "figure": f"IF({visible} AND {i}.tag = 'figure', {s}.figures + 1, {enclosing_figure})",
         "dropped": f"{s}.dropped", "muted": f"{s}.muted", "inroot": f"{s}.inroot",
     })
-    text = _with(s, n_text=f"{s}.n_text + 1", texts=f"concat({s}.texts, array({i}.raw))")
+    text = _with(
+        s,
+        n_text=f"{s}.n_text + IF({visible}, 1, 0)",
+        n_all=f"{s}.n_all + 1",
+        texts=f"IF({visible}, concat({s}.texts, array({i}.raw)), {s}.texts)",
+        all_texts=f"concat({s}.all_texts, array({i}.raw))",
+    )
     opened = _with(
         s,
         stack=f"concat({s}.stack, array({entry}))",
@@ -227,16 +245,14 @@ def _step(s: str, i: str, root: str) -> str:
         "pos": f"{i}.pos", "raw": f"{i}.raw", "headings": f"{s}.headings",
         "paragraphs": f"{s}.paragraphs", "figure": enclosing_figure,
     }) + "))")
-    bare = _struct({
-        "pos": f"{i}.pos", "tag": f"{i}.tag", "raw": f"{i}.raw",
-        "t0": f"{s}.n_text", "t1": f"{s}.n_text", "stop": f"{i}.pos",
-    })
+    ends = {"t1": here["t0"], "a1": here["a0"], "stop": f"{i}.pos"}
+    bare = _struct({f: (here | ends)[f] for f in _ELEMENT})
     empty = _with(s, elements=f"concat({s}.elements, array({bare}))", **counters)
 
     # a close tag pops the nearest open element of its name and all above it
     def pop(depth: str) -> str:
         bottom = f"get({s}.stack, size({s}.stack) - {depth})"
-        popped = _close_entries(f"slice({s}.stack, -{depth}, {depth})", f"{i}.pos", f"{s}.n_text")
+        popped = _close_entries(f"slice({s}.stack, -{depth}, {depth})", f"{i}.pos", s)
         return f"IF({depth} > 0, " + _with(
             s,
             stack=f"slice({s}.stack, 1, size({s}.stack) - {depth})",
@@ -248,11 +264,11 @@ def _step(s: str, i: str, root: str) -> str:
 
     closed = let(f"CAST(array_position(reverse({s}.stack.tag), {i}.tag) AS INT)", pop)
     return f"""CASE
-        WHEN {i}.kind = 'text' THEN IF({visible} AND {s}.muted = 0, {text}, {s})
+        WHEN {i}.kind = 'text' THEN IF({s}.muted = 0, {text}, {s})
         WHEN {i}.kind = 'open' THEN {opened}
         WHEN {i}.kind = 'close' THEN {closed}
-        WHEN {i}.kind = 'void' AND {visible} AND {i}.tag = 'img' THEN {image}
-        WHEN {i}.kind = 'void' AND {visible} AND {i}.tag IN ({quoted(TRACKED_TAGS)}) THEN {empty}
+        WHEN {i}.kind = 'void' AND {i}.tag = 'img' THEN IF({visible}, {image}, {s})
+        WHEN {i}.kind = 'void' THEN {empty}
         ELSE {s} END"""
 
 
@@ -284,8 +300,23 @@ def _root_position(items: str) -> str:
     return f"coalesce({first('main')}, {first('article')}, -1)"
 
 
-def _fold(items: str, root: str, n: str) -> str:
-    """Fold the token list into STRUCT<root, n, texts, elements, images>.
+def _view(done: str, root: str, n: str, clean: bool) -> str:
+    """Document of a finished fold, with or without the dropped subtrees."""
+    e = fresh("e")
+    first, last = ("t0", "t1") if clean else ("a0", "a1")
+    spans = f"filter({done}.elements, {e} -> {e}.kept)" if clean else f"{done}.elements"
+    return _struct({
+        "root": root,
+        "n": n,
+        "texts": f"{done}.texts" if clean else f"{done}.all_texts",
+        "elements": f"""transform({spans}, {e} -> named_struct('pos', {e}.pos, 'tag', {e}.tag, 'raw', {e}.raw,
+            't0', {e}.{first}, 't1', {e}.{last}, 'stop', {e}.stop))""",
+        "images": f"{done}.images",
+    })
+
+
+def _fold(items: str, root: str, n: str, finish: Callable[[str], str]) -> str:
+    """Fold the token list and shape the outcome with ``finish``.
 
     The list is folded in chunks so that growing output arrays are copied once
     per chunk and not once per token.
@@ -300,30 +331,24 @@ def _fold(items: str, root: str, n: str) -> str:
     merged = let(folded, lambda done: _struct({
         "state": done, **{o: f"concat({acc}.{o}, array({done}.{o}))" for o in _OUTPUT},
     }))
-    left_open = _close_entries(f"{f}.state.stack", n, f"{f}.state.n_text")
-    finish = _struct({
-        "root": root,
-        "n": n,
-        "texts": f"flatten({f}.texts)",
+    left_open = _close_entries(f"{f}.state.stack", n, f"{f}.state")
+    flat = _struct({
+        **{o: f"flatten({f}.{o})" for o in ("texts", "all_texts", "images")},
         "elements": f"sort_array(concat(flatten({f}.elements), {left_open}))",
-        "images": f"flatten({f}.images)",
     })
     chunks = f"sequence(0, CAST(floor((greatest(size({items}), 1) - 1) / {_CHUNK}) AS INT))"
-    return f"aggregate({chunks}, {outer}, ({acc}, {k}) -> {merged}, {f} -> {finish})"
-
+    return f"aggregate({chunks}, {outer}, ({acc}, {k}) -> {merged}, {f} -> {let(flat, finish)})"
 
-def _whole(items: str, n: str) -> str:
-    return let("-2", lambda root: _fold(items, root, n))
 
+def _parse(page: str, root: Callable[[str], str], finish: Callable[[str, str, str], str]) -> str:
+    """Tokenise and fold a page once; ``finish`` shapes (outcome, root, n)."""
 
-def _clean(items: str, n: str) -> str:
-    return let(_root_position(items), lambda root: _fold(items, root, n))
+    def with_tokens(raws: str) -> str:
+        n = f"size({raws})"
+        return let(_items(raws), lambda items: let(
+            root(items), lambda r: _fold(items, r, n, lambda done: finish(done, r, n))))
 
-
-def _parse(page: str, view: Callable[[str, str], str]) -> str:
-    """Tokenise a page once and hand its items and token count to ``view``."""
-    parsed = let(tokens(page), lambda raws: let(_items(raws), lambda items: view(items, f"size({raws})")))
-    return f"CASE WHEN {page} IS NOT NULL THEN {parsed} END"
+    return f"CASE WHEN {page} IS NOT NULL THEN {let(tokens(page), with_tokens)} END"
 
 
 def document(page: str, clean: bool) -> str:
@@ -335,12 +360,15 @@ def document(page: str, clean: bool) -> str:
     are gone, as content extraction wants; without it the page is left whole,
     as link and title extraction want.
     """
-    return _parse(page, _clean if clean else _whole)
+    root = _root_position if clean else (lambda items: "-2")
+    return _parse(page, root, lambda done, r, n: _view(done, r, n, clean))
 
 
 def documents(page: str) -> str:
-    """Both views of a page, STRUCT<whole, clean>, from one tokenisation."""
-    return _parse(page, lambda items, n: _struct({"whole": _whole(items, n), "clean": _clean(items, n)}))
+    """Both views of a page, STRUCT<whole, clean>, from one fold."""
+    return _parse(page, _root_position, lambda done, r, n: _struct({
+        "whole": _view(done, r, n, False), "clean": _view(done, r, n, True),
+    }))
 
 
 def elements_of(doc: str, tags: list[str]) -> str:

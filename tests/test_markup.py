@@ -58,6 +58,16 @@ def test_tag_soup_matches_stack_reader(spark):
         assert texts[i] == reader.content(doc), doc
 
 
+def test_both_views_from_one_fold(spark):
+    rng = random.Random(11)
+    df = pages(spark, [tag_soup(rng) for _ in range(150)]).selectExpr(
+        f"{markup.documents('html')} AS both", f"{markup.document('html', True)} AS clean",
+        f"{markup.document('html', False)} AS whole",
+    )
+    assert df.where("both.clean <> clean").count() == 0
+    assert df.where("both.whole.texts <> whole.texts OR both.whole.elements <> whole.elements").count() == 0
+
+
 def test_driver_pages_match_stack_reader(spark, sf_dir):
     rows = table(spark, sf_dir, "unit_pages").where("html IS NOT NULL")
     docs = {r.page_id: r.html for r in rows.collect()}
