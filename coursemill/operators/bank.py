@@ -95,7 +95,11 @@ def question_types(questions: DataFrame) -> DataFrame:
 
 
 def path_catalog(questions: DataFrame) -> DataFrame:
-    """Learning paths in order with their question count and number."""
+    """Learning paths in order with their question count and number.
+
+    The unpartitioned window numbers the aggregated paths, the menu a person
+    picks from; questions never reach it.
+    """
     counts = questions.groupBy("learning_path").agg(F.count("*").alias("question_count"))
     return counts.withColumn("path_no", F.row_number().over(Window.orderBy("learning_path")).cast("bigint"))
 

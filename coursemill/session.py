@@ -14,6 +14,10 @@ SETTINGS = {
     # parquet text unpacks to several times its size: count that before broadcasting
     "spark.sql.sources.fileCompressionFactor": "4.0",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # streaming state outgrows the heap: keep it on disk, upload only changes
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 
