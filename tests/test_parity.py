@@ -4,9 +4,10 @@ import parity
 import pytest
 
 import __spark_entry__ as entry_points
+from coursemill.plans import catalog, oracle
 
-QUERIES = entry_points.queries()
-SQL = entry_points.oracle_sql()
+QUERIES = catalog.REGISTRY
+SQL = oracle.build()
 
 
 @pytest.fixture(scope="module")
@@ -16,6 +17,8 @@ def con(sf_dir):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
 @pytest.mark.parametrize("name", QUERIES)
