@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm import packing, pii, secrets, simhash, urls
+from coursemill.llm import langid, packing, pii, secrets, simhash, urls
 from coursemill.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +50,11 @@ def op4(spark, sf):
     return packing.packed(table(spark, sf, "documents"))
 
 
+@register("op5_langid")
+def op5(spark, sf):
+    return langid.identify(table(spark, sf, "documents"))
+
+
 @register("op7_secrets")
 def op7(spark, sf):
     return secrets.report(secrets.secrets(table(spark, sf, "documents")))
