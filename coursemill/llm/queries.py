@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm import langid, packing, pii, secrets, simhash, urls
+from coursemill.llm import embeddings, langid, packing, pii, secrets, simhash, topk, urls
 from coursemill.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@register("op2_topk")
+def op2(spark, sf):
+    vectors = topk.quantised(table(spark, sf, "embeddings"))
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 @register("op3_pii")
 def op3(spark, sf):
     return pii.report(pii.personal_data(table(spark, sf, "documents")))
@@ -66,6 +72,11 @@ def op8(spark, sf):
     return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+@register("op9_embeddings")
+def op9(spark, sf):
+    return embeddings.embedding_groups(table(spark, sf, "embeddings"))
+
+
 URL_RULES = [
     ("org", "/", "allow"),
     ("example.org", "/es/", "block"),
