@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm import embeddings, langid, packing, pii, secrets, simhash, topk, urls
+from coursemill.llm import embeddings, langid, lines, packing, pii, secrets, simhash, topk, urls
 from coursemill.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,11 @@ def op5(spark, sf):
     return langid.identify(table(spark, sf, "documents"))
 
 
+@register("op6_lines")
+def op6(spark, sf):
+    return lines.report(table(spark, sf, "documents"))
+
+
 @register("op7_secrets")
 def op7(spark, sf):
     return secrets.report(secrets.secrets(table(spark, sf, "documents")))
