@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm import embeddings, langid, lines, packing, pii, secrets, simhash, topk, urls
+from coursemill.llm import embeddings, langid, lines, packing, pii, secrets, sentencepieces, simhash, topk, urls
 from coursemill.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,14 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@register("op1_sentencepiece")
+def op1(spark, sf):
+    decoded = sentencepieces.decode(sentencepieces.encode(table(spark, sf, "documents")))
+    return decoded.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_ids"), F.crc32("ids").alias("ids_crc32"),
+        F.sha2("text", 256).alias("text_sha256"))
+
+
 @register("op2_topk")
 def op2(spark, sf):
     vectors = topk.quantised(table(spark, sf, "embeddings"))
