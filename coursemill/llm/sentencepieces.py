@@ -29,6 +29,8 @@ SPACE = "▁"
 UNKNOWN = 10.0
 #: Words a worker remembers; then it starts anew. Words advanced at once, in characters.
 WORDS, CHARACTERS = 300_000, 1 << 18
+#: Words that are worth advancing together.
+TOGETHER = 32
 #: Odd multiplier of the running hash.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bits of a hash that say whether any piece has it.
@@ -112,45 +114,60 @@ class Pieces:
                 self.known.update(zip(some, self.viterbi(some, length), strict=True))
         return [b"".join(map(self.known.__getitem__, p)) for p in parts]
 
-    def look_up(self, codes: np.ndarray, hashes: np.ndarray, start: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-        """Words that hold a piece from ``start`` to ``end``, and its row."""
-        size = end - start
-        wanted = (hashes[:, end] - hashes[:, start] * self.powers[size]) ^ (np.uint64(size) << np.uint64(58))
-        word = np.flatnonzero(self.maybe[wanted >> np.uint64(64 - FILTER)])
-        wanted = wanted[word]
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
-        hit = self.hashes[at] == wanted
-        word, at = word[hit], at[hit]
-        same = (self.codes[at, :size] == codes[word, start:end]).all(axis=1)
-        return word[same], at[same]
+    def look_up(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """``(word, start, end, row)`` of all pieces in the words, and row -1 for characters without a piece."""
+        length = codes.shape[1]
+        hashes = np.zeros((len(codes), length + 1), np.uint64)
+        for k in range(length):
+            hashes[:, k + 1] = hashes[:, k] * BASE + codes[:, k]
+        found = []
+        for size in range(1, min(self.widest, length) + 1):
+            wanted = (hashes[:, size:] - hashes[:, :-size] * self.powers[size]).ravel() ^ (np.uint64(size) << np.uint64(58))
+            place = np.flatnonzero(self.maybe[wanted >> np.uint64(64 - FILTER)])
+            wanted = wanted[place]
+            row = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+            hit = self.hashes[row] == wanted
+            row, (word, start) = row[hit], np.divmod(place[hit], length - size + 1)
+            same = (self.codes[row, :size] == codes[word[:, None], start[:, None] + np.arange(size)]).all(axis=1)
+            found.append((word[same], start[same], start[same] + size, row[same]))
+        word, start = np.nonzero(~np.isin(codes, self.singles))
+        found.append((word, start, start + 1, np.full(len(word), -1)))
+        return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
     def viterbi(self, words: list[str], length: int) -> list[bytes]:
         """Ids of words of one length."""
         codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, length)
         count = len(words)
-        hashes = np.zeros((count, length + 1), np.uint64)
-        for k in range(length):
-            hashes[:, k + 1] = hashes[:, k] * BASE + codes[:, k]
+        word, start, end, row = self.look_up(codes)
+        # by end, then from the longest piece on; of equal sums the first, that is the longest last piece, stays
+        order = np.lexsort((start, end))
+        word, start, end, row = word[order], start[order], end[order], row[order]
+        score = np.where(row >= 0, self.scores[row], self.worst)
+        if count < TOGETHER:
+            return self.one_by_one(words, length, word, start, end, row, score)
         best = np.full((length + 1, count), -np.inf)
         best[0] = 0
         came = np.zeros((length + 1, count), np.int32)
         piece = np.full((length + 1, count), -1, np.int32)
-        bare = ~np.isin(codes, self.singles)
-        for end in range(1, length + 1):
-            # from the longest piece on; of equal sums the first, that is the longest last piece, stays
-            for start in range(max(0, end - self.widest), end):
-                word, row = self.look_up(codes, hashes, start, end)
-                sums = best[start, word] + self.scores[row]
-                better = sums > best[end, word]
-                word = word[better]
-                best[end, word], came[end, word], piece[end, word] = sums[better], start, row[better]
-            word = np.flatnonzero(bare[:, end - 1])
-            sums = best[end - 1, word] + self.worst
-            better = sums > best[end, word]
-            word = word[better]
-            best[end, word], came[end, word], piece[end, word] = sums[better], end - 1, -1
+        edges = np.flatnonzero(np.diff(end * (length + 1) + start, prepend=-1, append=-1))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            s, e, w = start[a], end[a], word[a:b]
+            sums = best[s, w] + score[a:b]
+            better = sums > best[e, w]
+            w = w[better]
+            best[e, w], came[e, w], piece[e, w] = sums[better], s, row[a:b][better]
         return [self.backtrack(w, c, p) for w, c, p in zip(words, came.T.tolist(), piece.T.tolist(), strict=True)]
 
+    def one_by_one(self, words, length, *hits) -> list[bytes]:
+        """The same for few words, which may be very long."""
+        best = [[0.0] + [-np.inf] * length for _ in words]
+        came, piece = [[0] * (length + 1) for _ in words], [[-1] * (length + 1) for _ in words]
+        for w, s, e, row, score in zip(*(h.tolist() for h in hits), strict=True):
+            total = best[w][s] + score
+            if total > best[w][e]:
+                best[w][e], came[w][e], piece[w][e] = total, s, row
+        return [self.backtrack(w, c, p) for w, c, p in zip(words, came, piece, strict=True)]
+
     def backtrack(self, word: str, came: list[int], piece: list[int]) -> bytes:
         out, end = [], len(word)
         while end:
