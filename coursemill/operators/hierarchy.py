@@ -24,19 +24,18 @@ UNIT_KEYS = ["course_url", "path_ord", "module_ord", "unit_ord"]
 
 @dataclass(frozen=True)
 class Limits:
-    """Children expanded per parent; None or 0 means all of them."""
+    """Children expanded per parent; None or 0 means all of them, a negative number all but so many at the end."""
 
     paths: int | None = None
     modules: int | None = None
     units: int | None = None
 
-    def __post_init__(self) -> None:
-        if any(n is not None and n < 0 for n in (self.paths, self.modules, self.units)):
-            raise ValueError("limits must not be negative")
-
     @staticmethod
     def selects(ord_column: str, limit: int | None) -> str:
-        return f"{ord_column} < {limit}" if limit else f"{ord_column} IS NOT NULL"
+        """Condition on a child's place; ``siblings`` is the number of children."""
+        if not limit:
+            return f"{ord_column} IS NOT NULL"
+        return f"{ord_column} < {limit}" if limit > 0 else f"{ord_column} < siblings - {-limit}"
 
 
 def page_lookup(frontier: DataFrame, pages: DataFrame) -> DataFrame:
@@ -47,7 +46,8 @@ def page_lookup(frontier: DataFrame, pages: DataFrame) -> DataFrame:
 def page_facts(pages: DataFrame, site: str = urls.SITE, with_content: bool = True) -> DataFrame:
     """One narrow record per page.
 
-    ``(url, fetched, html_bytes, title, paths, modules, units[, content...])``
+    ``(url, row_id, fetched, html_digest, html_bytes, title, paths, modules, units[, content...])``;
+    an empty page counts as a failed fetch, like one without html.
     """
 
     def facts(whole: str, clean: str | None) -> str:
@@ -65,15 +65,29 @@ def page_facts(pages: DataFrame, site: str = urls.SITE, with_content: bool = Tru
         parsed = let(markup.documents("html"), lambda d: facts(f"{d}.whole", f"{d}.clean"))
     else:
         parsed = let(markup.document("html", False), lambda d: facts(d, None))
-    columns = ["url", "fetched", "html_bytes", "f.title", "f.paths", "f.modules", "f.units"]
+    columns = ["url", "row_id", "fetched", "html_digest", "html_bytes", "f.title", "f.paths", "f.modules", "f.units"]
     return pages.selectExpr(
         "url",
-        "html IS NOT NULL AS fetched",
+        "monotonically_increasing_id() AS row_id",
+        "coalesce(html <> '', false) AS fetched",
+        "xxhash64(html) AS html_digest",
         "coalesce(octet_length(html), 0) AS html_bytes",
-        f"IF(html IS NULL, NULL, {parsed}) AS f",
+        f"IF(coalesce(html, '') = '', NULL, {parsed}) AS f",
     ).select(*columns, *(["f.body.*"] if with_content else []))
 
 
+def unique_pages(facts: DataFrame) -> DataFrame:
+    """One record per URL: a fetched page before a failed one, then the least digest of the html.
+
+    ``facts`` is a written table, so its row ids hold. Only ids and digests are
+    shuffled; records are dropped by id, and where nothing repeats none is.
+    """
+    rank = F.struct(~F.col("fetched"), "html_digest", "row_id")
+    repeated = facts.groupBy("url").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
+    surplus = facts.select("url", "row_id").join(repeated, "url").where("row_id <> first.row_id").select("row_id")
+    return facts.join(stage(surplus, "repeated-pages"), "row_id", "left_anti")
+
+
 def _expand(rows: DataFrame, facts: DataFrame, level: str, child: str, selected: str, anchor: str) -> DataFrame:
     """Look the rows' pages up and fan out to their children.
 
@@ -96,8 +110,9 @@ def _expand(rows: DataFrame, facts: DataFrame, level: str, child: str, selected:
 
 
 def _fan_out(rows: DataFrame, keep: list[str], ord_name: str, columns: list[str]) -> DataFrame:
-    exploded = rows.selectExpr(*keep, "posexplode_outer(children) AS (child_ord, c)")
-    return exploded.selectExpr(*keep, f"CAST(child_ord AS BIGINT) AS {ord_name}", *columns)
+    exploded = rows.selectExpr(
+        *keep, "CAST(size(children) AS BIGINT) AS siblings", "posexplode_outer(children) AS (child_ord, c)")
+    return exploded.selectExpr(*keep, "siblings", f"CAST(child_ord AS BIGINT) AS {ord_name}", *columns)
 
 
 def structure_rows(seeds: DataFrame, facts: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -122,7 +137,7 @@ def structure_rows(seeds: DataFrame, facts: DataFrame, limits: Limits = Limits()
     return _fan_out(
         modules, module_cols, "unit_ord",
         ["c.number AS unit_number", "c.title AS unit_title", "c.url AS unit_url", "c.href AS unit_href"],
-    ).withColumn("unit_selected", F.expr(Limits.selects("unit_ord", limits.units)))
+    ).withColumn("unit_selected", F.expr(Limits.selects("unit_ord", limits.units))).drop("siblings")
 
 
 def with_unit_pages(rows: DataFrame, facts: DataFrame, fields: list[str]) -> DataFrame:
@@ -152,7 +167,7 @@ def course_hierarchy(
     Without ``extract_content`` no content is built; without ``look_up_units``
     unit pages are not joined at all.
     """
-    facts = stage(page_facts(pages, site, extract_content), "page-facts")
+    facts = unique_pages(stage(page_facts(pages, site, extract_content), "page-facts"))
     rows = structure_rows(seeds, facts, limits)
     if not (extract_content or look_up_units):
         return rows

@@ -16,7 +16,6 @@ from coursemill.functions.columns import quoted, strip
 from coursemill.operators import ordinals
 from coursemill.operators.bank import LETTERS
 
-TOP_K_ROWS = 10_000
 SHOWN_MODULES = 3
 
 
@@ -27,7 +26,8 @@ def path_selection(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     """Learning paths each request picks ``(attempt_id, all_paths, learning_path)``.
 
     A selection is a comma list of 1-based path numbers; numbers out of range
-    are ignored, and anything that is not a number means all paths.
+    are ignored, and anything that is not a number means all paths. A request
+    that picks no existing path has one row without a path: zero questions.
     """
     numbers = f"transform(split(selection, ','), x -> try_cast({strip('x')} AS BIGINT))"
     parsed = requests.selectExpr("attempt_id", f"{strip('selection')} AS selection").selectExpr(
@@ -37,32 +37,30 @@ def path_selection(requests: DataFrame, catalog: DataFrame) -> DataFrame:
     everything = flagged.where("all_paths").selectExpr(
         "attempt_id", "all_paths", "CAST(NULL AS STRING) AS learning_path"
     )
-    chosen = (
+    found = (
         flagged.where("NOT all_paths")
         .selectExpr("attempt_id", "all_paths", "explode(array_distinct(numbers)) AS path_no")
-        .join(catalog.select("path_no", "learning_path"), "path_no")
+        .join(catalog.select("path_no", "learning_path"), "path_no", "left")
+    )
+    # numbers of a request are few; those without a path collapse to one row, which goes if there is a path
+    numbered = Window.partitionBy("attempt_id")
+    chosen = (
+        found.groupBy("attempt_id", "all_paths", "learning_path").agg(F.count("*").alias("n"))
+        .withColumn("some", F.max("learning_path").over(numbered))
+        .where("learning_path IS NOT NULL OR some IS NULL")
         .select("attempt_id", "all_paths", "learning_path")
     )
     return everything.unionByName(chosen)
 
 
-def selected_questions(questions: DataFrame, paths: DataFrame) -> DataFrame:
-    """Questions of the chosen learning paths."""
-    return questions.join(paths.select("learning_path").distinct(), "learning_path", "left_semi")
-
-
 def sample(questions: DataFrame, seed: int, n: int | None = None) -> DataFrame:
     """Seeded shuffle ``(position, question_id)``, first ``n`` or all.
 
     The order is a digest of seed and id, so it does not depend on how the
-    questions are partitioned. A small ``n`` is a top-k; otherwise positions
-    come from bucketed counting and no task sorts everything.
+    questions are partitioned. Positions come from bucketed counting, so no task
+    sorts everything.
     """
     keyed = questions.selectExpr("question_id", f"md5(concat('{seed}|', question_id)) AS shuffle_key")
-    if n is not None and n <= TOP_K_ROWS:
-        top = keyed.orderBy("shuffle_key", "question_id").limit(n)
-        order = Window.orderBy("shuffle_key", "question_id")
-        return top.select(F.row_number().over(order).cast("bigint").alias("position"), "question_id")
     numbered = ordinals.row_number(
         keyed, [], ["shuffle_key", "question_id"], ordinals.hash_bucket("shuffle_key"), "position"
     )
@@ -87,9 +85,9 @@ def available_questions(selection: DataFrame, catalog: DataFrame) -> DataFrame:
     totals = catalog.selectExpr("learning_path", "question_count")
     some = (
         selection.where("NOT all_paths")
-        .join(totals, "learning_path")
+        .join(totals, "learning_path", "left")
         .groupBy("attempt_id")
-        .agg(F.sum("question_count").alias("available"))
+        .agg(F.coalesce(F.sum("question_count"), F.lit(0)).alias("available"))
     )
     everything = selection.sparkSession.sql(
         "SELECT attempt_id, (SELECT sum(question_count) FROM {totals}) AS available FROM {selection} WHERE all_paths",
@@ -187,8 +185,13 @@ def cleared(states: DataFrame, attempts: DataFrame) -> DataFrame:
     return states.join(attempts.select("attempt_id"), "attempt_id", "left_anti")
 
 
+def accepted_answers(answers: DataFrame) -> DataFrame:
+    """Answers that name an option; others are asked for again."""
+    return _cleaned(answers).where("accepted").select(*answers.columns)
+
+
 def remaining_questions(sampled: DataFrame, attempts: DataFrame, answered: DataFrame, total: int) -> DataFrame:
-    """Questions of the sample an attempt has not answered, in sample order."""
+    """Questions of the sample that an attempt has no accepted answer to, in sample order."""
     todo = attempts.selectExpr("attempt_id", f"explode(sequence(1L, {total}L)) AS position").join(
         sampled, "position"
     )

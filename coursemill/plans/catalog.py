@@ -302,7 +302,7 @@ def structure_only(spark, sf):
 def _resume_inputs(spark, sf, with_content: bool):
     mode = {} if with_content else STRUCTURE_ONLY
     rows = _hierarchy(spark, sf, **mode).where("unit_url IS NOT NULL")
-    keep = ["course_url", "unit_ord", "unit_url", *resume.TITLES, *(["content"] if with_content else [])]
+    keep = ["unit_ord", "unit_url", *resume.KEY, *(["content"] if with_content else [])]
     snapshot = table(spark, sf, "unit_snapshot").withColumnRenamed("page_id", "ord")
     return rows.select(*keep), snapshot
 
@@ -429,12 +429,10 @@ def unit_record(spark, sf):
 def question_flat(spark, sf):
     """Bank as CSV: written, then read back as columns."""
     path = new_path(spark, "csv")
-    questions = _bank(spark, sf).select("question_id", "options", "correct_answer", "learning_path", "module")
-    files.write_csv(questions, path)
-    schema = "question_id BIGINT, correct_answer STRING, learning_path STRING, module STRING, " + ", ".join(
-        f"option_{c} STRING" for c in "abcd"
-    )
-    return spark.read.schema(schema).option("header", "true").csv(path)
+    texts = ["question", "correct_answer", "explanation", "learning_path", "module", "additional_notes"]
+    files.write_csv(_bank(spark, sf).select("question_id", *texts, "options"), path)
+    columns = [*texts, *(f"option_{c}" for c in "abcd")]
+    return files.read_csv(spark, path, "question_id BIGINT, " + ", ".join(f"{c} STRING" for c in columns))
 
 
 @register("q_required")
@@ -502,14 +500,12 @@ def mix_vs_target(spark, sf):
 
 @register("coverage_gaps")
 def coverage_gaps(spark, sf):
-    hard = table(spark, sf, "question_bank").where("difficulty = 'hard'")
-    return bank.coverage_gaps(table(spark, sf, "module_catalog"), hard)
+    return bank.coverage_gaps(table(spark, sf, "module_catalog"), table(spark, sf, "question_bank"))
 
 
 @register("request_delta")
 def request_delta(spark, sf):
-    hard = table(spark, sf, "question_bank").where("difficulty = 'hard'")
-    return bank.request_delta(table(spark, sf, "request"), hard)
+    return bank.request_delta(table(spark, sf, "request"), table(spark, sf, "question_bank"))
 
 
 @register("quota_alloc")
@@ -605,9 +601,9 @@ def progress_state(spark, sf):
 @register("resume_questions")
 def resume_questions(spark, sf):
     sampled = quiz.sample(table(spark, sf, "question_bank"), SEED, SAMPLE)
-    answered = table(spark, sf, "answer_events")
-    attempts = answered.select("attempt_id").distinct()
-    return quiz.remaining_questions(sampled, attempts, answered, SAMPLE)
+    answers = table(spark, sf, "answer_events")
+    attempts = answers.select("attempt_id").distinct()
+    return quiz.remaining_questions(sampled, attempts, quiz.accepted_answers(answers), SAMPLE)
 
 
 @register("option_rows")

@@ -65,7 +65,9 @@ UNION ALL SELECT url, html FROM {path_pages} UNION ALL SELECT url, html FROM {co
 SEEDS = "SELECT url AS course_url FROM {course_pages}"
 
 UNIT_SNAPSHOT = """
-SELECT page_id, concat('Path ', CAST(floor(page_id/32) AS BIGINT)) AS path_title,
+SELECT page_id,
+  concat('https://learn.example.org/en-us/training/courses/c-', CAST(floor(page_id/96) AS BIGINT)) AS course_url,
+  concat('Path ', CAST(floor(page_id/32) AS BIGINT)) AS path_title,
   concat('Module', CAST(floor(page_id/8) AS BIGINT)) AS module_title,
   CASE page_id % 8 WHEN 0 THEN 'Introduction' WHEN 1 THEN 'Provision' WHEN 2 THEN 'Try it' WHEN 3 THEN 'Wrap up'
     WHEN 4 THEN '' WHEN 5 THEN 'More' WHEN 6 THEN 'Practice' ELSE 'Summary' END AS unit_title,
@@ -78,7 +80,7 @@ SELECT doc_id AS question_id, text AS question, concat('first ', doc_id) AS opti
   concat('second ', doc_id) AS option_b, concat('third ', doc_id) AS option_c,
   CASE WHEN doc_id % 23 = 0 THEN NULL ELSE concat('fourth ', doc_id) END AS option_d,
   CASE doc_id % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' ELSE 'D' END AS correct_answer,
-  CASE WHEN doc_id % 19 = 0 THEN '' ELSE substr(text, 1, 200) END AS explanation, source AS learning_path,
+  CASE WHEN doc_id % 19 = 0 THEN '' ELSE text END AS explanation, source AS learning_path,
   concat(source, '-', lang) AS module, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE '' END AS additional_notes,
   CASE WHEN doc_id % 10 < 3 THEN 'easy' WHEN doc_id % 10 < 8 THEN 'medium' ELSE 'hard' END AS difficulty
 FROM {documents}
@@ -118,30 +120,11 @@ def inputs_of(name: str) -> list[str]:
     return [t for t in [*DERIVED, "pages", "documents", "events", "benchmark"] if "{" + t + "}" in text]
 
 
-SMALL_INPUT = 1 << 30
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores on a small table that arrives as one file split.
-
-    A large table has enough splits of its own and is never moved: its size,
-    as the scan reports it, is checked first.
-    """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    if int(str(size)) > SMALL_INPUT:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a derived table as a DataFrame."""
-    keys = {"pages": "page_id", "documents": "doc_id"}
-    if name in keys:
-        return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"), keys[name])
     if name not in DERIVED:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    derived = spark.sql(DERIVED[name], **{t: table(spark, sf_dir, t) for t in inputs_of(name)})
-    return spread(derived, "url") if name == "page_store" else derived
+    return spark.sql(DERIVED[name], **{t: table(spark, sf_dir, t) for t in inputs_of(name)})
 
 
 def derived_ctes(*names: str) -> str:
@@ -187,17 +170,21 @@ UNION ALL SELECT 2 AS batch, item_id AS question_id, text AS question FROM {benc
 
 MODULE_CATALOG = """
 SELECT DISTINCT source AS learning_path, concat(source, '-', lang) AS module FROM {documents}
+UNION SELECT concat('src', item_id % 25) AS learning_path, concat('src', item_id % 25, '-', CASE item_id % 3
+  WHEN 0 THEN 'en' WHEN 1 THEN 'fr' ELSE 'it' END) AS module FROM {benchmark}
 """
 
-# one line per question; some are cut short, some lack or rename a key
+# one line per question, whole texts; some are cut short, some lack or rename a key
 QUESTION_LINES = """
-SELECT doc_id AS question_id, CASE
-  WHEN doc_id % 29 = 0 THEN concat('{{"question": "', doc_id, '", "module": "')
-  WHEN doc_id % 13 = 0 THEN concat('{{"question": "', doc_id, '", "options": {{"A": "x"}}, "answer": "A", "module": "',
-    source, '", "learning_path": "', lang, '", "explanation": "e"}}')
-  ELSE concat('{{"question": "', doc_id, '", "options": {{"A": "x"}}, "correct_answer": "A", "module": "', source,
-    '", "learning_path": "', lang, '", "explanation": "e", "additional_notes": ""}}') END AS line
-FROM {documents}
+SELECT question_id, CASE
+  WHEN question_id % 29 = 0 THEN concat('{{"question": "', quoted, '", "module": "')
+  WHEN question_id % 13 = 0 THEN concat('{{"question": "', quoted, '", "options": {{"A": "x"}}, "answer": "A", "module": "',
+    source, '", "learning_path": "', lang, '", "explanation": "', quoted, '"}}')
+  ELSE concat('{{"question": "', quoted, '", "options": {{"A": "x"}}, "correct_answer": "A", "module": "', source,
+    '", "learning_path": "', lang, '", "explanation": "', quoted, '", "additional_notes": ""}}') END AS line
+FROM (SELECT doc_id AS question_id, source, lang, replace(replace(replace(replace(replace(text,
+    chr(92), concat(chr(92), chr(92))), '"', concat(chr(92), '"')), chr(10), concat(chr(92), 'n')),
+    chr(13), concat(chr(92), 'r')), chr(9), concat(chr(92), 't')) AS quoted FROM {documents}) t
 """
 
 DERIVED.update({

@@ -39,6 +39,8 @@ _MODULE = (
     f"prerequisites:array<string>,units:array<{_UNIT}>>"
 )
 _PATH = f"struct<title:string,url:string,learn_uid:string,modules:array<{_MODULE}>>"
+#: A null field of a CSV file.
+CSV_NULL = r"\N"
 COMPLETE = f"url STRING, title STRING, description STRING, learning_paths ARRAY<{_PATH}>"
 
 
@@ -88,7 +90,7 @@ def snapshot_units(snapshot: DataFrame) -> DataFrame:
         .selectExpr("course_url", "p", "path.title AS path_title", "posexplode(path.modules) AS (m, module)")
         .selectExpr("course_url", "p", "m", "path_title", "module.title AS module_title",
                     "posexplode(module.units) AS (u, unit)")
-        .selectExpr("struct(course_url, p, m, u) AS ord", "path_title", "module_title",
+        .selectExpr("struct(course_url, p, m, u) AS ord", "course_url", "path_title", "module_title",
                     "unit.title AS unit_title", "unit.url AS unit_url", "unit.content AS content",
                     "unit.headings AS headings", "unit.code_blocks AS code_blocks", "unit.images AS images",
                     "unit.links AS links")
@@ -119,14 +121,16 @@ def balanced(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def write_complete(lines: DataFrame, path: str) -> None:
-    """Complete course documents, one folder per course.
+    """Complete course documents, one folder per course, named by a digest of its URL.
 
-    Part files of a course, read in name order, are one JSON object. The sort
-    starts with the partition column, or the writer would sort once more.
+    Courses may share a title or have none, so titles name no folder. Part files
+    of a course, read in name order, are one JSON object. The sort starts with
+    the partition column, or the writer would sort once more.
     """
-    order = ["course_slug", *LINE_KEY]
-    ordered = lines.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.select("course_slug", "line").write.mode("overwrite").partitionBy("course_slug").text(path)
+    order = ["course_key", *LINE_KEY]
+    keyed = lines.withColumn("course_key", F.md5("course_url"))
+    ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered.select("course_key", "line").write.mode("overwrite").partitionBy("course_key").text(path)
 
 
 def write_slices(slices: DataFrame, path: str) -> None:
@@ -167,7 +171,16 @@ def flat_questions(questions: DataFrame) -> DataFrame:
 
 
 def write_csv(questions: DataFrame, path: str) -> None:
-    flat_questions(questions).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+    """CSV with a header; texts keep their line breaks and outer spaces, and a null is not an empty text."""
+    writer = flat_questions(questions).write.mode("overwrite").option("header", "true").option("escape", '"')
+    whole = writer.option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
+    whole.option("nullValue", CSV_NULL).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV of ``write_csv``; as texts hold line breaks, a file is read by one task."""
+    reader = spark.read.schema(schema).option("header", "true").option("multiLine", "true").option("escape", '"')
+    return reader.option("nullValue", CSV_NULL).csv(path)
 
 
 def write_xml(questions: DataFrame, path: str) -> None:

@@ -65,9 +65,29 @@ def test_zero_and_unset_limits_mean_all(n):
     assert Limits.selects("ord", n) == "ord IS NOT NULL"
 
 
-def test_negative_limit_is_rejected():
-    with pytest.raises(ValueError):
-        Limits(units=-1)
+def test_negative_limits_drop_from_the_end(spark, sf_dir, rows):
+    limited = hierarchy.course_hierarchy(
+        table(spark, sf_dir, "page_store"), table(spark, sf_dir, "seeds"), BASE, Limits(paths=-1, units=-6))
+    paths = limited.where("path_url IS NOT NULL").groupBy("course_url").agg(
+        F.count_distinct("path_ord").alias("n"),
+        F.count_distinct(F.expr("IF(path_status = 'not_selected', path_ord, NULL)")).alias("cut")).collect()
+    assert all(r.cut == 1 for r in paths) and sum(r.n for r in paths) > len(paths)
+    units = limited.where("unit_url IS NOT NULL").groupBy("module_url").agg(
+        F.count("*").alias("n"), F.count_if(F.expr("unit_status <> 'not_selected'")).alias("kept")).collect()
+    assert units and all(r.kept == max(r.n - 6, 0) for r in units)
+
+
+def test_repeated_pages_count_once_and_empty_ones_are_failed(spark, sf_dir, rows):
+    pages = table(spark, sf_dir, "page_store")
+    empty = pages.selectExpr("url", "'' AS html")
+    got = hierarchy.course_hierarchy(
+        pages.unionByName(pages).unionByName(empty), table(spark, sf_dir, "seeds"), BASE).drop("html_bytes")
+    want = rows.drop("html_bytes").select(*got.columns)
+    names = [c for c, t in got.dtypes if "<" not in t]
+    assert got.count() == want.count()
+    assert got.select(names).exceptAll(want.select(names)).count() == 0
+    failed = hierarchy.course_hierarchy(empty, table(spark, sf_dir, "seeds"), BASE)
+    assert {(r.course_title, r.course_status) for r in failed.collect()} == {("", "failed")}
 
 
 def test_missing_and_failed_pages(spark):
@@ -112,12 +132,15 @@ def test_todo_and_done_cover_all_units(spark, sf_dir, rows):
 
 def test_first_stored_copy_wins_and_empty_content_is_not_done(spark):
     snapshot = spark.createDataFrame(
-        [(3, "p", "m", "u", "late"), (2, "p", "m", "u", "early"), (1, "p", "m", "u", ""), (4, "p", "m", "v", "")],
-        "ord INT, path_title STRING, module_title STRING, unit_title STRING, content STRING")
-    units = spark.createDataFrame([("p", "m", "u", "new"), ("p", "m", "v", "new")],
-                                  "path_title STRING, module_title STRING, unit_title STRING, content STRING")
+        [(3, "c", "p", "m", "u", "late"), (2, "c", "p", "m", "u", "early"), (1, "c", "p", "m", "u", ""),
+         (4, "c", "p", "m", "v", ""), (0, "d", "p", "m", "v", "of another course")],
+        "ord INT, course_url STRING, path_title STRING, module_title STRING, unit_title STRING, content STRING")
+    units = spark.createDataFrame(
+        [("c", "p", "m", "u", "new"), ("c", "p", "m", "v", "new")],
+        "course_url STRING, path_title STRING, module_title STRING, unit_title STRING, content STRING")
     merged = {r.unit_title: (r.content, r.resumed) for r in resume.resume_merge(units, snapshot, ["content"]).collect()}
     assert merged == {"u": ("early", True), "v": ("new", False)}
+    assert [r.unit_title for r in resume.units_todo(units, snapshot).collect()] == ["v"]
 
 
 # --- publishing ----------------------------------------------------------
@@ -133,9 +156,9 @@ def read_parts(folder):
 
 
 def test_complete_document_is_one_json_object(spark, rows, tmp_path):
-    lines = publish.complete_lines(rows).withColumn("course_slug", F.expr("replace(course_title, ' ', '-')"))
+    lines = publish.complete_lines(rows.withColumn("course_title", F.lit("one title for all")))
     files.write_complete(lines, str(tmp_path / "complete"))
-    folders = [f for f in os.listdir(tmp_path / "complete") if f.startswith("course_slug=")]
+    folders = [f for f in os.listdir(tmp_path / "complete") if f.startswith("course_key=")]
     assert len(folders) == rows.select("course_url").distinct().count()
     for folder in folders:
         course = json.loads(read_parts(tmp_path / "complete" / folder))
@@ -308,7 +331,7 @@ def test_sample_ignores_partitioning_and_extends(spark):
 
 
 @pytest.mark.parametrize("selection, everything, paths", [
-    ("1,99", False, ["a"]), ("1,x", True, []), ("99", False, []), (" 2 , 1", False, ["a", "b"]), ("", True, []),
+    ("1,99", False, ["a"]), ("1,x", True, []), ("99", False, [None]), (" 2 , 1", False, ["a", "b"]), ("", True, []),
 ])
 def test_path_selection(spark, selection, everything, paths):
     catalog = spark.createDataFrame([(1, "a"), (2, "b")], "path_no BIGINT, learning_path STRING")
