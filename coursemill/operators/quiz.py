@@ -163,21 +163,37 @@ def grades(results: DataFrame) -> DataFrame:
     return results.selectExpr("attempt_id", "percentage", f"{rules.grade('percentage')} AS grade")
 
 
-def attempt_status(scored: DataFrame) -> DataFrame:
-    """Last session, questions done and score so far per attempt."""
-    return scored.groupBy("attempt_id").agg(
+def attempt_status(scored: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Last session, questions done, size of the quiz and score so far per attempt.
+
+    ``sizes(attempt_id, total)`` as from ``sample_sizes``; an attempt whose size
+    was not accepted has none.
+    """
+    done = scored.groupBy("attempt_id").agg(
         F.date_format(F.max("ts"), "yyyy-MM-dd'T'HH:mm:ss").alias("last_session"),
         F.count("*").alias("current_index"),
         F.count_if("correct").alias("score"),
     )
+    return done.join(sizes.select("attempt_id", "total"), "attempt_id", "left")
+
+
+def saved_states(scored: DataFrame, sizes: DataFrame, seed: int) -> DataFrame:
+    """What is saved after every answer.
+
+    ``(attempt_id, seed, current_index, score, total, question_id, user_answer, correct, saved_at)``
+    """
+    states = scored.selectExpr(
+        "attempt_id", f"{seed}L AS seed", "position AS current_index", "score", "question_id", "user_answer", "correct",
+        "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss\") AS saved_at",
+    )
+    return states.join(sizes.select("attempt_id", "total"), "attempt_id", "left")
 
 
 def latest_progress(states: DataFrame) -> DataFrame:
     """Latest saved state per attempt."""
-    newest = states.groupBy("attempt_id").agg(
-        F.max_by(F.struct("position", "score"), F.col("position")).alias("s")
-    )
-    return newest.selectExpr("attempt_id", "s.position AS current_index", "s.score AS score")
+    fields = ["seed", "current_index", "score", "total", "saved_at"]
+    newest = states.groupBy("attempt_id").agg(F.max_by(F.struct(*fields), F.col("current_index")).alias("s"))
+    return newest.select("attempt_id", "s.*")
 
 
 def cleared(states: DataFrame, attempts: DataFrame) -> DataFrame:

@@ -535,6 +535,10 @@ def path_select(spark, sf):
 
 @register("sample_size")
 def sample_size(spark, sf):
+    return _sizes(spark, sf)
+
+
+def _sizes(spark, sf):
     catalog = bank.path_catalog(table(spark, sf, "question_bank"))
     requests = table(spark, sf, "selections")
     available = quiz.available_questions(quiz.path_selection(requests, catalog), catalog)
@@ -582,19 +586,19 @@ def quiz_grade(spark, sf):
 
 @register("attempt_status")
 def attempt_status(spark, sf):
-    return quiz.attempt_status(_graded(spark, sf))
+    return quiz.attempt_status(_graded(spark, sf), _sizes(spark, sf))
 
 
 @register("progress_load")
 def progress_load(spark, sf):
-    return quiz.latest_progress(quiz.running_score(_scored(spark, sf)))
+    return quiz.latest_progress(quiz.saved_states(_scored(spark, sf), _sizes(spark, sf), SEED))
 
 
 @register("progress_state")
 def progress_state(spark, sf):
     """State saved after every answer, without attempts that started over."""
-    saved = stage(quiz.running_score(_scored(spark, sf)), "progress")
-    restarted = saved.where("position = 1 AND NOT correct").select("attempt_id")
+    saved = stage(quiz.saved_states(_scored(spark, sf), _sizes(spark, sf), SEED), "progress")
+    restarted = saved.where("current_index = 1 AND NOT correct").select("attempt_id")
     return quiz.latest_progress(quiz.cleared(saved, restarted))
 
 
