@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from coursemill.operators import ordinals
 from coursemill.operators.publish import LINE_KEY
+from coursemill.sources.staging import stage
 
 HEADINGS = "array<struct<level:int,text:string>>"
 IMAGES = (
@@ -188,22 +189,25 @@ def write_xml(questions: DataFrame, path: str) -> None:
 
 
 def json_array_lines(questions: DataFrame, order: str) -> DataFrame:
-    """Lines ``(line_key, line)`` that in order form one JSON array.
+    """Lines ``(line_key, tie, line)`` that, sorted by the first two, form one JSON array.
 
-    Every element but the one with the smallest key starts with a comma; the
-    smallest key is a combining minimum, so nothing is gathered.
+    Every element but the first starts with a comma. The ends are a combining
+    minimum and maximum, so nothing is gathered. Rows are staged with a number
+    that tells equal keys apart.
     """
     fields = ", ".join(f"'{c}', {c}" for c in questions.columns if c != order)
-    spark = questions.sparkSession
-    return spark.sql(
-        f"""SELECT {order} AS line_key, concat(IF({order} = (SELECT min({order}) FROM {{q}}), '[', ','),
-            to_json(named_struct({fields}), map('ignoreNullFields', 'false')),
-            IF({order} = (SELECT max({order}) FROM {{q}}), ']', '')) AS line FROM {{q}}""",
-        q=questions,
+    rows = stage(questions.selectExpr(
+        f"{order} AS line_key", "monotonically_increasing_id() AS tie",
+        f"to_json(named_struct({fields}), map('ignoreNullFields', 'false')) AS body"), "array-lines")
+    return questions.sparkSession.sql(
+        """SELECT line_key, tie, concat(
+            IF(struct(line_key, tie) = (SELECT min(struct(line_key, tie)) FROM {rows}), '[', ','), body,
+            IF(struct(line_key, tie) = (SELECT max(struct(line_key, tie)) FROM {rows}), ']', '')) AS line FROM {rows}""",
+        rows=rows,
     )
 
 
 def write_json_array(questions: DataFrame, order: str, path: str) -> None:
     """One JSON array over ordered part files."""
-    lines = json_array_lines(questions, order).repartitionByRange("line_key").sortWithinPartitions("line_key")
+    lines = json_array_lines(questions, order).repartitionByRange("line_key", "tie").sortWithinPartitions("line_key", "tie")
     lines.select("line").write.mode("overwrite").text(path)

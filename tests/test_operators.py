@@ -207,6 +207,8 @@ def test_question_files(spark, sf_dir, tmp_path):
     files.write_json_array(questions, "question_id", str(tmp_path / "array"))
     parsed = json.loads(read_parts(tmp_path / "array"))
     assert [p["options"]["A"] for p in parsed] == [f"first {i}" for i in range(n)]
+    files.write_json_array(questions.unionByName(questions), "question_id", str(tmp_path / "twice"))
+    assert len(json.loads(read_parts(tmp_path / "twice"))) == 2 * n
     files.write_xml(questions, str(tmp_path / "xml"))
     assert spark.read.format("xml").option("rowTag", "question").load(str(tmp_path / "xml")).count() == n
     files.write_csv(questions, str(tmp_path / "csv"))
