@@ -252,8 +252,8 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(rows, fit(docs)).drop("text")
 
 
-#: Least probability of the best language; below, a text belongs to none that was learned.
-LEAST = 0.5
+#: Least probability of the best language; below, none stands out. A document in two languages has one above it.
+LEAST = 0.3
 
 
 def known_language(docs: DataFrame) -> DataFrame:
