@@ -14,6 +14,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -160,7 +161,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     one block and one shard at a time.
     """
     built = stage(shards(vectors), "shards")
-    chains = built.select("shard", "blob", F.floor((F.row_number().over(Window.orderBy("shard")) - 1) / CHAIN).alias("chain"))
+    count = -(-max(built.count(), 1) // CHAIN)
+    chains = built.select("blob", F.pmod(F.xxhash64("shard"), F.lit(count)).alias("chain"))
     asked = stage(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
     blocks = -(-max(asked.count(), 1) // BLOCK)
 
@@ -171,13 +173,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
             rows += batch.column(1).to_pylist()
         if ids:
             blob = pickle.dumps((np.array(ids, np.int64), padded(rows)))
-            yield pa.RecordBatch.from_arrays([pa.array([min(ids)]), pa.array([blob], pa.binary())], ["block", "queries"])
+            block = pa.array([TaskContext.get().partitionId()])
+            yield pa.RecordBatch.from_arrays([block, pa.array([blob], pa.binary())], ["block", "queries"])
 
     packed = stage(asked.repartition(blocks).mapInArrow(gather, "block long, queries binary"), "blocks")
-    names = [r["block"] for r in packed.select("block").collect()]  # one for each block of queries
-    if not names:
-        return vectors.sparkSession.createDataFrame([], _RESULT)
-    met = chains.select("*", F.explode(F.array(*(F.lit(n).cast("long") for n in names))).alias("block"))
+    met = chains.select("*", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")).alias("block"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current: Any = None
@@ -201,9 +201,6 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
         "query_id", "rank", "vec_id", "score")
 
 
-_RESULT = "query_id long, rank int, vec_id long, score long"
-
-
 def _rows(best: Best) -> pa.RecordBatch:
     some = best.scores > -np.inf
     owners = np.repeat(best.query_ids, best.k).reshape(best.scores.shape)
