@@ -26,6 +26,8 @@ EDITS, NEAR_FROM = 2, 20
 PAIRED, BLOCK = 64, 1024
 #: Lines a task remembers to have given keys for; it starts anew beyond that.
 REMEMBERED = 500_000
+#: Lines of a block that are compared with the others at once.
+TOGETHER = 32
 #: Characters of the lines that are verified at once, padding included.
 CHARACTERS = 1 << 22
 
@@ -85,14 +87,21 @@ def within(ones: list[str], others: list[str], edits: int) -> np.ndarray:
     return result
 
 
+def _codes(strings: list[str], wide: int) -> np.ndarray:
+    """Code points plus one, a row for each string, filled up with zeros; a string that comes often is read once."""
+    place: dict[str, int] = {}
+    rows = [place.setdefault(s, len(place)) for s in strings]
+    codes = np.zeros((len(place), wide), np.uint32)
+    for row, s in enumerate(place):
+        s = s[:wide]
+        codes[row, : len(s)] = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") + 1
+    return codes[rows]
+
+
 def _advance(texts: list[str], patterns: list[str], sizes: np.ndarray, wide: int, edits: int) -> np.ndarray:
     count, band = len(texts), 2 * edits + 1
-    text = np.zeros((count, wide), np.uint32)
-    pattern = np.zeros((count, wide + 2 * edits), np.uint32)
-    for i, (t, p) in enumerate(zip(texts, patterns, strict=True)):
-        text[i, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), "<u4") + 1
-        p = p[: wide + edits]
-        pattern[i, edits : edits + len(p)] = np.frombuffer(p.encode("utf-32-le", "surrogatepass"), "<u4") + 1
+    text = _codes(texts, wide)
+    pattern = np.pad(_codes(patterns, wide + edits), ((0, 0), (edits, 0)))
     full = np.uint32((1 << band) - 1)
     states = [np.full(count, 1 << edits, np.uint32)]
     for _ in range(edits):
@@ -231,11 +240,17 @@ def near_links(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
         names, bodies = cell["line"].tolist(), cell["body"].tolist()
         sizes = np.array([len(b) for b in bodies])
         group, links = np.arange(len(cell)), []
-        for i in range(len(cell)):
-            apart = np.flatnonzero((group != group[i]) & (np.abs(sizes - sizes[i]) <= edits))
-            hit = apart[within([bodies[i]] * len(apart), [bodies[j] for j in apart], edits)]
-            links += [(names[i], names[j]) for j in hit[np.unique(group[hit], return_index=True)[1]]]
-            group[np.isin(group, group[hit])] = group[i]
+        # several lines at once meet all later ones that are not yet of their group
+        for start in range(0, len(cell), TOGETHER):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(start, min(start + TOGETHER, len(cell))), np.arange(start, len(cell)),
+                                                   indexing="ij"))
+            ask = (j > i) & (group[i] != group[j]) & (np.abs(sizes[i] - sizes[j]) <= edits)
+            i, j = i[ask], j[ask]
+            hit = within([bodies[x] for x in i], [bodies[x] for x in j], edits)
+            for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
+                if group[x] != group[y]:
+                    links.append((names[x], names[y]))
+                    group[group == group[y]] = group[x]
         return pd.DataFrame(links, columns=["a", "b"])
 
     # a crowded key is a grid of blocks; each cell returns links that connect it, fewer than it has lines
