@@ -10,7 +10,7 @@ from conftest_rows import HARD
 
 import __spark_entry__ as entry_points
 import corpus_pipeline
-from coursemill.llm import embeddings, graph, lines, oracle, queries, simhash, topk, urls
+from coursemill.llm import copies, embeddings, graph, lines, oracle, queries, simhash, topk, urls
 
 
 def union(n, pairs):
@@ -96,6 +96,44 @@ def test_thresholds_meet_the_pigeonhole():
     assert sorted(b for g in groups for b in g) == list(range(64))
 
 
+# --- near copies ----------------------------------------------------------------
+
+
+def plain_kept(rows, least=0.8):
+    """Ids that stay, by every pair of sets."""
+    kept = []
+    for i, t in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+        words = (t or "").lower().split()
+        found = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+        if all(found != o and (not found or len(found & o) / len(found | o) < least) for _, o in kept):
+            kept.append((i, found))
+    return [i for i, _ in kept]
+
+
+@pytest.mark.parametrize("paired", [2, 65])
+def test_near_copies_against_all_pairs(documents, monkeypatch, paired):
+    monkeypatch.setattr(copies, "PAIRED", paired)
+    draw, rows = random.Random(9), [(1, None), (2, ""), (3, "two words"), (4, "Two  words")]
+    for group in range(12):
+        base = [f"w{draw.randrange(3000)}" for _ in range(300)]
+        for _ in range(9):
+            words = list(base)
+            for at in draw.sample(range(300), draw.randrange(14)):  # some pairs below 0.8, in chains
+                words[at] = f"x{draw.randrange(10**6)}"
+            rows.append((100 + len(rows), " ".join(words)))
+    docs = documents(rows)
+    kept = copies.keep_one(docs)
+    want = plain_kept(rows)
+    assert kept.dtypes == docs.dtypes
+    assert sorted(r.doc_id for r in kept.collect()) == want and 14 < len(want) < len(rows) - 40
+
+
+def test_repeated_ids_of_near_copies(documents):
+    kept = copies.keep_one(documents(HARD + [(10, "Same text TWICE"), (5, "another text under this id"), (None, "same text twice")]))
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted(
+        (i or 0, t or "") for i, t in {*HARD, (5, "another text under this id"), (None, "same text twice")} if i not in (2, 3, 6))
+
+
 # --- lines ------------------------------------------------------------------------
 
 
