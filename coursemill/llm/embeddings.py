@@ -6,12 +6,11 @@ and every vector searches the graph of its clusters from the medoid: greedily
 until the beam holds still, then on through all that is within the range.
 Links are verified in double precision. The share of true links found is
 measured on a bounded set of vectors against all others; too low a share makes
-the clusters overlap more.
+the clusters overlap more, and at last all vectors are compared.
 """
 
 from __future__ import annotations
 
-import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +31,10 @@ PER_CLUSTER, CLUSTERS, MEMBERS = 1024, 4096, 2048
 SAMPLE, ROUNDS = 20_000, 8
 #: Candidates and degree of the pruned graph, slack of the pruning rule, width of the search beam.
 NEAREST, DEGREE, SLACK, BEAM = 48, 24, 1.2, 16
-#: Vectors of the audit, least share of links found, most clusters of a vector.
+#: Vectors of the audit at first, least share of links found, most clusters of a vector.
 AUDIT, RECALL, OVERLAP = 200, 0.9, 6
+#: Vectors with a partner that the audit wants to meet, and vectors that it asks for that, about, at most.
+MET, PROBES = 100, 6000
 
 
 def unit_vectors(embeddings: DataFrame) -> DataFrame:
@@ -214,6 +215,7 @@ def _build(cell: pd.DataFrame) -> pd.DataFrame:
 
 
 def _search(cell: pd.DataFrame) -> pd.DataFrame:
+    """Links in a cell along the graph."""
     cell = cell.sort_values("node", ignore_index=True)
     nodes, m = cell["node"].to_numpy(), len(cell)
     x = np.array([np.frombuffer(u) for u in cell["unit"]])
@@ -225,7 +227,25 @@ def _search(cell: pd.DataFrame) -> pd.DataFrame:
         lists[i, : len(here)] = here
     q, o = range_search(x, lists, RANGE)
     key = np.unique(q.astype(np.int64) * m + o)
-    q, o = key // m, key % m
+    return _counted(cell, key // m, key % m)
+
+
+def _compare(cell: pd.DataFrame) -> pd.DataFrame:
+    """Links in a cell by all its pairs."""
+    cell = cell.sort_values("node", ignore_index=True)
+    x = np.array([np.frombuffer(u) for u in cell["unit"]])
+    found = []
+    for start in range(0, len(x), 512):
+        near = x[start : start + 512] @ x.T >= RANGE
+        near[np.arange(len(near)), start + np.arange(len(near))] = False
+        q, o = np.nonzero(near)
+        found.append((q + start, o))
+    return _counted(cell, *(np.concatenate(c) for c in zip(*found, strict=True)))
+
+
+def _counted(cell: pd.DataFrame, q: np.ndarray, o: np.ndarray) -> pd.DataFrame:
+    """Links, different partners and least node reached of each member; ``(q, o)`` both ways."""
+    nodes, m = cell["node"].to_numpy(), len(cell)
     # a pair counts in the first cluster its two vectors share, and across blocks only between them
     mine, block = cell["cluster"][0], cell["block"].to_numpy()
     held = cell["clusters"].tolist()
@@ -237,6 +257,7 @@ def _search(cell: pd.DataFrame) -> pd.DataFrame:
         earlier |= (ours < mine) & (table[o] == ours[:, None]).any(axis=1)
     counted = ~earlier & ((block[q] != block[o]) | (not cell["across"][0]))
     links = np.bincount(q[counted], cell["copies"].to_numpy()[o[counted]], m).astype(np.int64)
+    pairs = np.bincount(q[counted], minlength=m).astype(np.int64)
     root = np.arange(m)
     while True:
         low = root.copy()
@@ -245,50 +266,63 @@ def _search(cell: pd.DataFrame) -> pd.DataFrame:
         if (low == root).all():
             break
         root = low
-    return pd.DataFrame({"node": nodes, "links": links, "root": nodes[root]})
+    return pd.DataFrame({"node": nodes, "links": links, "pairs": pairs, "root": nodes[root]})
 
 
-def _links(units: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
+def _links(units: DataFrame, centres: np.ndarray, overlap: int, exact: bool = False) -> DataFrame:
     members = stage(cells(assign(units, centres, overlap)), "members")
+    found = "node long, links long, pairs long, root long"
+    if exact:
+        return stage(members.groupBy("cell").applyInPandas(_compare, found), "links")
     lists = members.select("cell", "node", "unit").groupBy("cell").applyInPandas(_build, "node long, near array<long>")
     graph = stage(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
     joined = members.join(graph, "node")
-    return stage(joined.groupBy("cell").applyInPandas(_search, "node long, links long, root long"), "links")
+    return stage(joined.groupBy("cell").applyInPandas(_search, found), "links")
 
 
 def audit(units: DataFrame, counts: DataFrame) -> float:
-    """Share of the true links found by up to ``AUDIT`` vectors, against all vectors in double precision.
+    """Mean share of its true partners that a vector is linked with, against all vectors in double precision.
 
-    Half of them are drawn from those with links, so that there is something to find.
+    Vectors are drawn by digest, whatever was found for them, until ``MET`` of
+    them have a true partner, ``PROBES`` at most. Each counts once, however many
+    partners and copies there are.
     """
-    drawn = counts.orderBy(F.xxhash64("node")).limit(AUDIT // 2).unionByName(
-        counts.where("links > 0").orderBy(F.xxhash64("node")).limit(AUDIT // 2)).select("node", "links").distinct()
-    sample = units.join(drawn, "node").select("node", "unit", "links", "copies").collect()
-    if not sample:
-        return 1.0
-    probes = [(r["node"], r["unit"]) for r in sample]
+    shares: list[float] = []
+    after, asked, size = None, 0, AUDIT
+    while len(shares) < MET and asked < PROBES:
+        place = F.xxhash64("node")
+        left = counts if after is None else counts.where(place > F.lit(after))
+        drawn = left.select("node", "pairs", place.alias("place")).orderBy("place").limit(size)
+        sample = units.join(drawn, "node").select("node", "unit", "pairs", "place").collect()
+        if not sample:
+            break
+        truth = _partners(units, [(r["node"], r["unit"]) for r in sample])
+        shares += [min(r["pairs"], truth[r["node"]]) / truth[r["node"]] for r in sample if truth[r["node"]]]
+        after, asked, size = max(r["place"] for r in sample), asked + len(sample), 2 * size
+    return sum(shares) / len(shares) if shares else 1.0
+
+
+def _partners(units: DataFrame, probes: list[tuple[int, bytes]]) -> dict[int, int]:
+    """Number of other different vectors within the range of each probe."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         true: dict[int, int] = dict.fromkeys((n for n, _ in probes), 0)
         for batch in batches:
             by_size: dict[int, list[int]] = {}
-            nodes, unit, copies = (c.to_pylist() for c in batch.columns)
+            nodes, unit = (c.to_pylist() for c in batch.columns)
             for i, u in enumerate(unit):
                 by_size.setdefault(len(u), []).append(i)
             for size, rows in by_size.items():
                 asked = [(n, np.frombuffer(u)) for n, u in probes if len(u) == size]
                 if asked:
                     near = np.array([np.frombuffer(unit[i]) for i in rows]) @ np.array([u for _, u in asked]).T >= RANGE
-                    weight = np.array([copies[i] for i in rows])
-                    names = np.array([nodes[i] for i in rows])
-                    for j, (n, _) in enumerate(asked):
-                        true[n] += int(weight[near[:, j] & (names != n)].sum())
+                    near &= np.array([nodes[i] for i in rows])[:, None] != np.array([n for n, _ in asked])
+                    for (n, _), more in zip(asked, near.sum(axis=0).tolist(), strict=True):
+                        true[n] += more
         yield pa.RecordBatch.from_arrays([pa.array(list(true)), pa.array(list(true.values()))], ["node", "true"])
 
-    true = units.select("node", "unit", "copies").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
-    truth = {r["node"]: r["true"] for r in true.collect()}  # AUDIT rows at most
-    total = sum(truth.values())
-    return sum(min(r["links"], truth[r["node"]]) for r in sample) / total if total else 1.0
+    true = units.select("node", "unit").mapInArrow(run, "node long, true long").groupBy("node").agg(F.sum("true").alias("true"))
+    return {r["node"]: r["true"] for r in true.collect()}  # a row for each probe
 
 
 def embedding_groups(embeddings: DataFrame) -> DataFrame:
@@ -312,14 +346,13 @@ def embedding_groups(embeddings: DataFrame) -> DataFrame:
     if count:
         centres, overlap = centroids(units, count), 2
         while True:
-            links = _links(units, centres, min(overlap, len(centres)))
-            counts = stage(links.groupBy("node").agg(F.sum("links").alias("links")), "counts")
-            share = audit(units, counts)
-            if share >= RECALL or overlap >= OVERLAP:
+            exact = overlap > OVERLAP
+            # one cluster of all vectors, as a grid of blocks, meets every pair once
+            links = _links(units, centres[:1] if exact else centres, 1 if exact else min(overlap, len(centres)), exact)
+            counts = stage(links.groupBy("node").agg(F.sum("links").alias("links"), F.sum("pairs").alias("pairs")), "counts")
+            if exact or audit(units, counts) >= RECALL:
                 break
-            overlap += 2
-        if share < RECALL:
-            warnings.warn(f"share of links found: {share:.3f}", stacklevel=2)
+            overlap = overlap + 2 if overlap < len(centres) else OVERLAP + 1  # no more clusters: nothing else to search
         roots = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
         rooted = stage(units.join(counts, "node").join(roots, "node", "left").select(
             "node", "unit", "copies", "first", "links", F.coalesce("root", "node").alias("root")), "rooted")

@@ -284,6 +284,33 @@ def test_embedding_groups(spark, monkeypatch, members):
     assert sum(f[2] == w[2] for f, w in zip(found, want, strict=True)) >= 0.97 * len(want)
 
 
+def paired_vectors(spark, pairs, alone):
+    draw = np.random.default_rng(8)
+    base = draw.normal(size=(pairs + alone, 32))
+    all_ = np.concatenate([base, base[:pairs] + 0.01])
+    units = all_ / np.linalg.norm(all_, axis=1, keepdims=True)
+    return spark.createDataFrame([(i, u.tobytes(), 1) for i, u in enumerate(units)], "node long, unit binary, copies long")
+
+
+def test_audit_sees_lost_links(spark):
+    units = paired_vectors(spark, 150, 2700)
+    # the first 105 of 150 pairs are found; nodes 0 to 149 pair with 2850 to 2999
+    counts = units.selectExpr("node", "CAST(node % 2850 < 105 AS LONG) AS links").selectExpr("*", "links AS pairs")
+    assert abs(embeddings.audit(units, counts) - 0.7) < 0.12
+
+
+def test_all_vectors_are_compared_when_the_search_fails(spark, monkeypatch):
+    none = np.zeros(0, int)
+    monkeypatch.setattr(embeddings, "range_search", lambda x, lists, least: (none, none))
+    monkeypatch.setattr(embeddings, "MEMBERS", 40)
+    monkeypatch.setattr(embeddings, "PER_CLUSTER", 30)
+    draw = np.random.default_rng(6)
+    centres = draw.normal(size=(40, 8))
+    rows = [(i, (centres[i % 40] + 0.1 * draw.normal(size=8)).tolist()) for i in range(200)] + [(500, [1.0, 2.0]), (501, [1.0, 2.1])]
+    rows += [(600 + i, rows[7][1]) for i in range(5)]
+    assert sorted(grouped(spark, rows)) == sorted(plain_groups(rows))
+
+
 def test_no_vectors(spark):
     assert grouped(spark, []) == []
     assert sorted(grouped(spark, [(1, None), (2, [0.0])])) == [(1, 0, 1), (2, 0, 2)]
