@@ -24,8 +24,16 @@ ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?"
 ASSIGNED = r"[A-Za-z0-9+/_.=-]+"
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
-#: A run of 20 characters or more that may be an encoded value; letters and digits are asked for afterwards.
-TOKEN = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{20,}+"
+_RUN, _END = "A-Za-z0-9+/_-", r"(?:=++(?![A-Za-z0-9+/_-]))?+"
+#: A value of 20 characters or more that may be encoded; letters and digits are asked for afterwards. ``=`` is padding at
+#: the end and else ends a value. A run that mixes ``+/`` with ``-_`` is no encoding: it is cut at ``/``, and what still
+#: mixes ``+`` with ``-_`` at those.
+TOKEN = "(?:" + "|".join((
+    rf"(?<![{_RUN}])(?=[={_RUN}]{{20}})(?:[A-Za-z0-9+/]++|[A-Za-z0-9_-]++)=++(?![{_RUN}])",
+    rf"(?<![{_RUN}])(?:[A-Za-z0-9+/]{{20,}}+(?![_-])|[A-Za-z0-9_-]{{20,}}+(?![+/])){_END}",
+    rf"(?<![A-Za-z0-9+_-])[A-Za-z0-9_-]{{20,}}+(?![+]){_END}",
+    rf"(?<![A-Za-z0-9+])[A-Za-z0-9+]{{20,}}+{_END}",
+)) + ")"
 
 _LOWER, _DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings by first fit: pattern of the whole token, and its alphabet.

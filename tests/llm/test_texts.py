@@ -161,6 +161,18 @@ def test_secrets(documents):
     assert secrets.report(secrets.secrets(documents([]))).count() == 0
 
 
+def test_values_after_names_and_in_paths(documents):
+    other = "kT9/wZb3QxL+f7Rn1vHsY5/dGm8CpJ2uEaX4oBtN"
+    texts = [f"SESSION_KEY={RANDOM}", f"AWS_SECRET_ACCESS_KEY={other}", f"https://a.b/c?sig={RANDOM}&x=1", f"/some-path/{RANDOM}",
+             f"NAME={RANDOM}==", f"a+b-c/{RANDOM}", f"x_y+{'a' * 3}-{RANDOM}/z"]
+    by = {r.doc_id: r.spans for r in secrets.secrets(documents(list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        value = other if i == 1 else RANDOM + "==" if i == 4 else RANDOM
+        assert [(s.kind, s.start, s.end) for s in by[i]] == [("random", t.index(value), t.index(value) + len(value))], t
+    masked = {r.doc_id: r.text for r in secrets.mask_secrets(documents(list(enumerate(texts)))).collect()}
+    assert masked[0] == f"SESSION_KEY={secrets.MASK}" and masked[2] == f"https://a.b/c?sig={secrets.MASK}&x=1"
+
+
 def test_masking(documents):
     docs = documents([(1, "é password=abcdefghijklmnop end"), (2, None), (3, "plain"), (4, f"{RANDOM}\n" + "0123456789abcdef")])
     rows = {r.doc_id: r for r in secrets.mask_secrets(docs).collect()}
