@@ -29,6 +29,10 @@ FOLDS = 5
 EPOCHS = 3
 #: Step, smoothing and penalties of the fit; scale brings term frequencies near one.
 ALPHA, BETA, L1, L2, SCALE = 0.5, 1.0, 0.02, 0.001, 50.0
+#: Share of a language's documents that hold an n-gram which is an ordinary one of it.
+USUAL = 0.01
+#: Known n-grams added to those of a text.
+FEW = 3
 UNDETERMINED = "und"
 #: Characters worked on at once.
 CHUNK = 1 << 20
@@ -71,8 +75,11 @@ class Model:
     languages: list[str]
     weights: np.ndarray
     intercepts: np.ndarray
+    #: Whether each n-gram is an ordinary one of each language (features x languages).
+    known: np.ndarray
 
-    def score(self, text: str | None, letter: np.ndarray) -> tuple[str, float]:
+    def _odds(self, text: str | None, letter: np.ndarray) -> np.ndarray | None:
+        """Probabilities of the languages, not yet divided by their sum; None where there is nothing to judge."""
         total, n, seen = self.intercepts.astype(np.float64), 0, 0
         sums = np.zeros(len(self.languages))
         for found, count in grams(text or "", letter):
@@ -80,12 +87,36 @@ class Model:
             n += len(found)
             sums += self.weights[found].sum(axis=0, dtype=np.float64)
         if not seen or not self.languages:
-            return UNDETERMINED, 0.0
+            return None
         logits = total + sums / n
-        odds = np.exp(logits - logits.max())
+        return np.exp(logits - logits.max())
+
+    def score(self, text: str | None, letter: np.ndarray) -> tuple[str, float]:
+        odds = self._odds(text, letter)
+        if odds is None:
+            return UNDETERMINED, 0.0
         best = int(odds.argmax())
         return self.languages[best], float(odds[best] / odds.sum())
 
+    def evidence(self, text: str | None, letter: np.ndarray) -> tuple[float, float]:
+        """Share of the longest n-grams known to the two best languages, and their odds against the third.
+
+        Neither depends on the number of languages. A text in two languages is
+        known to the two together. Without a third the odds are infinite. A text
+        of a few n-grams tells little, so ``FEW`` known ones are added.
+        """
+        odds = self._odds(text, letter)
+        if odds is None:
+            return 0.0, 0.0
+        order = odds.argsort()[::-1]
+        known, inside, n = self.known[:, order[:2]].any(axis=1), 0, 0
+        for found, _ in grams(text or "", letter):
+            last = found[len(found) - max((len(found) + 3) // 3 - 2, 0) :]
+            inside += int(known[last].sum())
+            n += len(last)
+        third = odds[order[2]] if len(order) > 2 else 0.0
+        return (inside + FEW) / (n + FEW), float(odds[order[:2]].sum() / third) if third else float("inf")
+
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """Documents kept from training: the CRC-32 of the id as text leaves 0. A null id counts as empty text: kept from it."""
@@ -169,7 +200,7 @@ def fit(docs: DataFrame) -> Model:
     sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     languages = sorted(r["lang"] for r in sizes)
     if not languages:
-        return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0))
+        return Model([], np.zeros((FEATURES, 0), np.float32), np.zeros(0), np.zeros((FEATURES, 0), bool))
     total = sum(r["count"] for r in sizes)
     rate = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, SAMPLE / r["count"]))))
     draw = F.pmod(F.xxhash64("doc_id", "lang"), F.lit(1 << 20)) / F.lit(1 << 20)
@@ -200,8 +231,10 @@ def fit(docs: DataFrame) -> Model:
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
-        data = []
+        data, times, docs_of = [], np.zeros((FEATURES, len(languages)), np.int32), np.zeros(len(languages))
         for _, lang, at, values in rows:
+            times[np.frombuffer(at, "<u2"), languages.index(lang)] += 1
+            docs_of[languages.index(lang)] += 1
             data.append((np.append(np.frombuffer(at, "<u2").astype(np.int64), FEATURES),
                          np.append(np.frombuffer(values, "<f4"), 1.0), languages.index(lang)))
         seen = [d for i, d in enumerate(data) if i % FOLDS] or data
@@ -211,14 +244,16 @@ def fit(docs: DataFrame) -> Model:
         t = temperature(logits, np.array([label for *_, label in unseen]))
         w, b = w * idf[:, None] * SCALE / t, b / t
         yield pa.RecordBatch.from_arrays(
-            [pa.array([w.astype("<f4").tobytes()], pa.binary()), pa.array([b.astype("<f8").tobytes()], pa.binary())],
-            ["w", "b"])
+            [pa.array([x], pa.binary()) for x in (
+                w.astype("<f4").tobytes(), b.astype("<f8").tobytes(), np.packbits((times > 0) & (times >= USUAL * docs_of)).tobytes())],
+            ["w", "b", "known"])
 
     sampled = labelled.where(draw < F.element_at(rate, F.col("lang"))).select(F.col("doc_id").cast("long"), "text", "lang")
     features = stage(sampled.mapInArrow(featurise, "doc_id long, lang string, at binary, values binary"), "features")
-    w, b = features.repartition(1).mapInArrow(train, "w binary, b binary").first()
+    w, b, known = features.repartition(1).mapInArrow(train, "w binary, b binary, known binary").first()
     shape = (FEATURES, len(languages))
-    return Model(languages, np.frombuffer(w, "<f4").reshape(shape), np.frombuffer(b, "<f8"))
+    known = np.unpackbits(np.frombuffer(known, np.uint8), count=shape[0] * shape[1]).astype(bool).reshape(shape)
+    return Model(languages, np.frombuffer(w, "<f4").reshape(shape), np.frombuffer(b, "<f8"), known)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
@@ -228,7 +263,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     texts if the model knows no language. Rows, repeated ones included, come
     back as often as given with all their columns.
     """
-    parts = (model.languages, model.weights, model.intercepts)  # FEATURES x languages numbers
+    parts = (model.languages, model.weights, model.intercepts, model.known)  # FEATURES x languages numbers
     shared = docs.sparkSession.sparkContext.broadcast(parts)
 
     @F.pandas_udf("struct<lang_pred:string,score:double>")
@@ -252,11 +287,24 @@ def identify(docs: DataFrame) -> DataFrame:
     return predict(rows, fit(docs)).drop("text")
 
 
-#: Least probability of the best language; below, none stands out. A document in two languages has one above it.
-LEAST = 0.3
+#: Least share of n-grams that the two best languages know, and least odds of the two against the third best.
+KNOWN, AHEAD = 0.5, 2.5
 
 
 def known_language(docs: DataFrame) -> DataFrame:
-    """The rows whose language is recognised with probability ``LEAST`` or more, all columns kept."""
-    judged = predict(docs.select(*(F.col(f"`{c}`") for c in docs.columns)), fit(docs))
-    return judged.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST)).drop("lang_pred", "score")
+    """The rows whose text the two best languages know and stand out for, all columns kept.
+
+    Rows without a letter go, and all do if the model knows no language.
+    """
+    model = fit(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.weights, model.intercepts, model.known))
+
+    @F.pandas_udf("boolean")
+    def recognised(texts):
+        import pandas
+
+        judge, letter = Model(*shared.value), kept("letters", letters)
+        found = (judge.evidence(t, letter) for t in texts)
+        return pandas.Series([share >= KNOWN and odds >= AHEAD for share, odds in found], dtype=bool)
+
+    return docs.where(recognised("text"))

@@ -251,6 +251,20 @@ def test_language(spark, sf_dir, documents):
         assert 0 <= r.score <= 1
 
 
+@pytest.mark.parametrize("languages", [["en", "fr"], ["de", "en", "es", "fr"]])
+def test_unknown_texts_go_whatever_the_number_of_languages(spark, sf_dir, languages):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(f"lang IN ({str(languages)[1:-1]})")
+    draw = np.random.default_rng(3)
+    strange = {-i: " ".join("".join(draw.choice(list(a), draw.integers(2, 9))) for _ in range(150))
+               for i, a in enumerate(("абвгдежзиклмнопрсту", "日本語的一是不了在人有", "bcdfghjkmpqvwxz"), 1)}
+    one = {r.lang: r.text for r in docs.where("length(text) > 700").collect()}
+    mixed = {-10: f"{one['en'][:600]} {one['fr'][:600]}"}
+    more = spark.createDataFrame([(i, t, None, "s", len(t)) for i, t in (strange | mixed).items()], docs.schema)
+    kept = {r.doc_id for r in langid.known_language(docs.unionByName(more)).collect()}
+    assert not kept & set(strange) and -10 in kept
+    assert kept - {-10} == {r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")}
+
+
 def test_nothing_to_learn(documents):
     rows = langid.identify(documents([(1, "abc"), (2, None)], lang={})).collect()
     assert {(r.lang_pred, r.score) for r in rows} == {("und", 0.0)}
