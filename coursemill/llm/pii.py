@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from coursemill.functions.columns import contains_any, fresh, let, quote
-from coursemill.llm.spans import count, find, listed
+from coursemill.llm.spans import count, find, listed, of_lists
 
 BASE = ("email", "ip", "card", "phone")
 
@@ -20,9 +20,21 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Kinds the method adds.
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+# Only the start of an account number is used up, so that each start is tried, with all ends that its country allows.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}"
+IBAN_REST = r"(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
+#: Length of an account number by country (IBAN registry); of other countries, every end of a word is tried.
+IBAN_SIZE = {
+    size: countries.split() for size, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT ST",
+        26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU",
+        31: "MT SC", 32: "LC",
+    }.items()
+}
+
 #: Words that raise the score of a span they stand near.
 CONTEXT = {
     "email": ("mail", "contact", "write to"),
@@ -75,15 +87,34 @@ def _valid(kind: str, hit: str) -> str:
         "ip": _octets(hit),
         "card": f"CASE WHEN {size} BETWEEN 16 AND 19 THEN {luhn(_digits(hit))} ELSE false END",
         "phone": f"{size} BETWEEN 8 AND 15",
-        "iban": mod97(hit),
+        "iban": "true",
         "ssn": "true",
     }[kind]
 
 
+def accounts(found: str) -> str:
+    """Account numbers that start at the matches ``found``: the longest end that the country allows and mod 97 confirms."""
+    x, y, n, h = fresh("x"), fresh("y"), fresh("n"), fresh("h")
+    size = "CASE " + " ".join(
+        f"WHEN left({x}.hit, 2) IN ({', '.join(map(quote, names))}) THEN {n} = {size - 4}" for size, names in IBAN_SIZE.items())
+    rest = f"regexp_extract({x}.key, concat('^(?:[ ]?[A-Z0-9]){{', {n}, '}}(?![A-Za-z0-9])'), 0)"
+    ends = f"transform(filter(sequence(30, 11, -1), {n} -> {size} ELSE true END), {n} -> {rest})"
+    valid = f"filter({ends}, {h} -> {h} <> '' AND {mod97(f'concat({x}.hit, {h})')})"
+    whole = f"transform({found}, {x} -> struct({x} AS x, get({valid}, 0) AS rest))"
+    return (
+        f"transform(filter({whole}, {y} -> {y}.rest IS NOT NULL), {y} -> struct({y}.x.kind AS kind, {y}.x.start AS start, "
+        f"{y}.x.end + char_length({y}.rest) AS end, concat({y}.x.hit, {y}.rest) AS hit, {y}.x.near AS near, {y}.x.key AS key))"
+    )
+
+
 def _kind(kind: str, pattern: str, needs: str) -> str:
     x, y = fresh("x"), fresh("y")
     score = f"{PRIOR[kind]} + IF({contains_any(f'{y}.near', CONTEXT[kind])}, {BONUS}, 0.0)"
-    kept = f"filter({find('body', kind, pattern, needs)}, {x} -> {_valid(kind, f'{x}.hit')})"
+    if kind == "iban":
+        found = accounts(find("body", kind, pattern, needs, ahead=IBAN_REST))
+    else:
+        found = find("body", kind, pattern, needs)
+    kept = f"filter({of_lists('body', found) if kind == 'ssn' else found}, {x} -> {_valid(kind, f'{x}.hit')})"
     scored = (
         f"transform({kept}, {y} -> struct({y}.kind AS kind, {y}.start AS start, {y}.end AS end, {y}.hit AS hit, "
         f"CAST({score} AS DOUBLE) AS score))"

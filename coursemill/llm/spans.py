@@ -31,15 +31,16 @@ def running_ends(lengths: str) -> str:
 MATCH = "STRUCT<kind: STRING, start: INT, end: INT, hit: STRING, near: STRING, key: STRING>"
 
 
-def find(text: str, kind: str, pattern: str, needs: str = "true", part: str = "") -> str:
+def find(text: str, kind: str, pattern: str, needs: str = "true", part: str = "", ahead: str = "") -> str:
     """Array of ``MATCH``, in order: all leftmost non-overlapping matches of ``pattern``.
 
     ``pattern`` holds no capturing groups, but for ``part``, a second pattern that
-    follows it and whose text becomes ``key``. ``needs`` is a cheap condition
-    without which the pattern cannot match. ``near`` is the text around the match,
-    up to the neighbouring matches.
+    follows it and whose text becomes ``key``; with ``ahead`` it must follow but is
+    not used up. ``needs`` is a cheap condition without which the pattern cannot
+    match. ``near`` is the text around the match, up to the neighbouring matches.
     """
-    whole = f"\\G(?s)(.*?)({pattern}{'(' + part + ')' if part else ''})"
+    after_it = f"({part})" if part else f"(?=({ahead}))" if ahead else ""
+    whole = f"\\G(?s)(.*?)({pattern}{after_it})"
 
     def search(group: int) -> str:
         return f"regexp_extract_all({text}, {quote(whole)}, {group})"
@@ -51,13 +52,13 @@ def find(text: str, kind: str, pattern: str, needs: str = "true", part: str = ""
         before = f"right(left({found}.whole[{i}], char_length({found}.whole[{i}]) - {size}), {NEAR})"
         after = f"left(coalesce(get({found}.whole, {i} + 1), substr({text}, {ends} + 1, {NEAR})), {NEAR})"
         near = f"lower(concat({before}, ' ', {after}))"
-        key = f"{found}.key[{i}]" if part else "''"
+        key = f"{found}.key[{i}]" if part or ahead else "''"
         return (
             f"transform({found}.hits, ({x}, {i}) -> struct({quote(kind)} AS kind, {ends} - {size} AS start, {ends} AS end, "
             f"{x} AS hit, {near} AS near, {key} AS key))"
         )
 
-    keys = search(3) if part else "CAST(array() AS ARRAY<STRING>)"
+    keys = search(3) if part or ahead else "CAST(array() AS ARRAY<STRING>)"
     w = fresh("w")
     parts = let(
         search(0),
@@ -67,6 +68,36 @@ def find(text: str, kind: str, pattern: str, needs: str = "true", part: str = ""
     return f"CASE WHEN {needs} THEN {let(parts, rows)} ELSE CAST(array() AS ARRAY<{MATCH}>) END"
 
 
+def of_lists(text: str, found: str) -> str:
+    """The matches ``found`` in ``text``, with the surroundings of its list added to ``near`` of each.
+
+    Matches with no letter and at most ``NEAR`` characters between them are a
+    list; each has also the text around the first and the last of them.
+    """
+
+    def grouped(f: str) -> str:
+        i, x = fresh("i"), fresh("x")
+        gap = f"substr({text}, {f}[{i} - 1].end + 1, {f}[{i}].start - {f}[{i} - 1].end)"
+        apart = f"{f}[{i}].start - {f}[{i} - 1].end > {NEAR} OR {gap} RLIKE '\\\\p{{L}}'"
+        opens = f"transform({f}, ({x}, {i}) -> IF(CASE WHEN {i} = 0 THEN true ELSE {apart} END, 1, 0))"
+        return let(opens, lambda o: let(f"struct({running_ends(o)} AS list, {heads(o)} AS first)", lambda g: added(f, g)))
+
+    def heads(o: str) -> str:
+        i = fresh("i")
+        return f"filter(sequence(0, size({o}) - 1), {i} -> {o}[{i}] = 1)"
+
+    def added(f: str, g: str) -> str:
+        i, x = fresh("i"), fresh("x")
+        first = f"{f}[{g}.first[{g}.list[{i}] - 1]].near"
+        last = f"{f}[coalesce(get({g}.first, {g}.list[{i}]), size({f})) - 1].near"
+        return (
+            f"transform({f}, ({x}, {i}) -> struct({x}.kind AS kind, {x}.start AS start, {x}.end AS end, {x}.hit AS hit, "
+            f"concat({x}.near, ' ', {first}, ' ', {last}) AS near, {x}.key AS key))"
+        )
+
+    return let(found, lambda f: f"CASE WHEN size({f}) < 2 THEN {f} ELSE {grouped(f)} END")
+
+
 def listed(spans: str) -> str:
     """``kind:start:end`` of each span, comma-joined."""
     x = fresh("x")

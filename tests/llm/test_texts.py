@@ -122,6 +122,17 @@ def test_context_raises_the_score(documents):
     assert scores[1] > scores[2]
 
 
+def test_accounts_before_other_words_and_lists_of_numbers(documents):
+    iban = "DE89370400440532013000"
+    texts = [f"IBAN {iban} BIC COBADEFFXXX", f"IBAN {iban} EUR 500", "IBAN GB82 WEST 1234 5698 7654 32 REF AB12",
+             f"AB12 {iban}", f"IBAN {iban}X", "ssn 123-45-6789, 234-56-7890", "ssn\n" + "123-45-6789\n" * 20,
+             "123-45-6789, 234-56-7890 (ssn)", "none 123-45-6789, 234-56-7890", "konto NO9386011117947 OG MER"]
+    by = {r.doc_id: [(s.kind, s.hit) for s in r.spans] for r in pii.personal_data(documents(list(enumerate(texts)))).collect()}
+    assert by[0] == by[1] == by[3] == [("iban", iban)] and by[4] == by[8] == []
+    assert by[2] == [("iban", "GB82 WEST 1234 5698 7654 32")] and by[9] == [("iban", "NO9386011117947")]
+    assert by[5] == by[7] == [("ssn", "123-45-6789"), ("ssn", "234-56-7890")] and len(by[6]) == 20
+
+
 # --- secrets -------------------------------------------------------------------
 
 KINDS = ["assign", "access", "hex"]
