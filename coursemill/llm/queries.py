@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm import embeddings, langid, lines, packing, pii, secrets, sentencepieces, simhash, topk, urls
+from coursemill.llm import (
+    embeddings, infill, langid, lexical, lines, packing, pii, secrets, sentencepieces, simhash, topk, toxicity, urls,
+)
 from coursemill.session import tune
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,3 +105,20 @@ URL_RULES = [
 def op10(spark, sf):
     rules = spark.createDataFrame(URL_RULES, urls.RULES)
     return urls.filter_urls(table(spark, sf, "pages"), rules)
+
+
+@register("op11_lexical")
+def op11(spark, sf):
+    return lexical.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@register("op12_toxicity")
+def op12(spark, sf):
+    found = toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    spans = "array_join(transform(offending, s -> concat(s.start, ':', s.end)), ',')"
+    return found.withColumn("sentences", F.expr(spans)).drop("offending")
+
+
+@register("op13_infill")
+def op13(spark, sf):
+    return infill.digests(table(spark, sf, "documents"))
