@@ -2,11 +2,14 @@
 
 A staged table cuts lineage and is read back as columns, so each reader takes
 only what it needs. It lives in the shared folder named by
-``spark.checkpoint.dir`` and therefore survives the loss of any executor.
+``spark.checkpoint.dir`` and therefore survives the loss of any executor. Tables
+that only a part of a job needs belong to a ``Scratch``, which removes them.
 """
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -16,7 +19,11 @@ _local_root: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only in local mode."""
+    """The cluster's shared folder.
+
+    In local mode, where driver and tasks are one process, a temporary one that
+    goes with it stands in for a folder that is not set.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
@@ -24,6 +31,7 @@ def shared_root(spark: SparkSession) -> str:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
     if not _local_root:
         _local_root.append(tempfile.mkdtemp(prefix="coursemill-"))
+        atexit.register(shutil.rmtree, _local_root[0], ignore_errors=True)
     return _local_root[0]
 
 
@@ -32,8 +40,48 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and continue from the written table."""
-    path = new_path(df.sparkSession, label)
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table by its path, in whatever file system it lies."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` once and continue from the written table, which stays."""
+    return _written(df, new_path(df.sparkSession, label))
+
+
+class Scratch:
+    """Staged tables of one piece of work, removed when it ends, also by an error.
+
+    What is still needed afterwards has to be staged outside, before the end.
+    """
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.root = spark, new_path(spark, label)
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        remove(self.spark, self.root)
+        self.paths.clear()
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` and continue from the written table."""
+        path = f"{self.root}/{label}-{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        table = _written(df, path)
+        self.paths[id(table)] = table, path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Remove tables that nothing unwritten reads any more."""
+        for table in tables:
+            _, path = self.paths.pop(id(table))
+            remove(self.spark, path)

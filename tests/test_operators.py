@@ -10,9 +10,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from coursemill.operators import bank, hierarchy, ordinals, publish, quiz, resume
+from coursemill.operators.components import components
 from coursemill.operators.hierarchy import Limits
 from coursemill.plans.fixtures import BASE, table
-from coursemill.sources import files
+from coursemill.sources import files, staging
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +45,43 @@ def test_no_task_gets_the_whole_hot_group(spark):
     assert biggest <= ordinals.WIDTH
 
 
+# --- components ----------------------------------------------------------
+
+
+def union(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(i) for i in range(n)]
+
+
+def test_components(spark):
+    draw = random.Random(1)
+    pairs = [(draw.randrange(400), draw.randrange(400)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)]
+    rows = components(spark.createDataFrame([*pairs, (None, 3), (5, 5)], "a long, b long")).collect()
+    roots = union(1100, pairs)
+    assert {r.node: r.root for r in rows} == {n: roots[n] for p in pairs for n in p if p[0] != p[1]}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_scratch_tables_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(staging, "shared_root", lambda spark: str(tmp_path))
+    components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).count()
+    assert len(os.listdir(tmp_path)) == 1  # the result
+    with pytest.raises(ZeroDivisionError), staging.Scratch(spark, "broken") as tables:
+        tables.stage(spark.range(5), "some")
+        raise ZeroDivisionError
+    assert len(os.listdir(tmp_path)) == 1
+
+
 # --- hierarchy -----------------------------------------------------------
 
 
