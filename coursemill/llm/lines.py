@@ -9,21 +9,23 @@ that can match; a banded bit-parallel automaton verifies.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coursemill.llm.graph import components
-from coursemill.sources.staging import stage
+from coursemill.operators.components import components
+from coursemill.sources.staging import Scratch, stage
 
 #: Edits between near copies, and characters from which lines are compared that way; shorter ones match exactly only.
 EDITS, NEAR_FROM = 2, 20
-#: Lines of an index key up to which all pairs are verified. Larger keys are linked block by block, without pairs.
+#: Lines of an index key whose pairs wait to be verified with those of other keys; and lines of a block of a larger key.
 PAIRED, BLOCK = 64, 1024
+#: Pairs, and their characters, that wait in a task at most; lines whose group it remembers until it starts anew.
+WAITING, WAITING_CHARACTERS, GROUPED = 8192, 1 << 23, 500_000
 #: Lines a task remembers to have given keys for; it starts anew beyond that.
 REMEMBERED = 500_000
 #: Lines of a block that are compared with the others at once.
@@ -205,62 +207,110 @@ def keys(docs: DataFrame, edits: int) -> DataFrame:
     return _texts_of(docs).select("text").mapInArrow(run, "key long, h long, own boolean")
 
 
-def near_links(docs: DataFrame, first: DataFrame, edits: int) -> DataFrame:
+class Linker:
+    """Links the lines of one key after the other; no link is given within lines that a task has connected already."""
+
+    def __init__(self, edits: int):
+        self.edits = edits
+        self.parent: dict[bytes, bytes] = {}
+        self.waiting: dict[tuple[bytes, bytes], tuple[str, str]] = {}
+        self.characters = 0
+
+    def root(self, line: bytes) -> bytes:
+        while (up := self.parent.setdefault(line, line)) != line:
+            self.parent[line] = line = self.parent[up]
+        return line
+
+    def join(self, one: bytes, other: bytes) -> bool:
+        """Whether the two were in different groups."""
+        one, other = self.root(one), self.root(other)
+        self.parent[other] = one
+        return one != other
+
+    def verified(self) -> list[tuple[bytes, bytes]]:
+        """Links among the pairs that wait."""
+        pairs = [p for p in self.waiting if self.root(p[0]) != self.root(p[1])]
+        bodies = [self.waiting[p] for p in pairs]
+        good = within([a for a, _ in bodies], [b for _, b in bodies], self.edits)
+        found = [p for p, g in zip(pairs, good.tolist(), strict=True) if g and self.join(*p)]
+        self.waiting, self.characters = {}, 0
+        if len(self.parent) > GROUPED:
+            self.parent = {}
+        return found
+
+    def links(self, names: list[bytes], bodies: list[str], own: list[bool], block: list[int]) -> Iterator[list[tuple[bytes, bytes]]]:
+        """Links of one key, as far as they are sure by now; one line of a pair must own the key.
+
+        With two blocks only their lines meet each other, those of one block meet elsewhere.
+        """
+        count, edits, two = len(names), self.edits, len(set(block)) > 1
+        if count <= PAIRED:
+            for i in range(count):
+                for j in range(i):
+                    if ((own[i] or own[j]) and not (two and block[i] == block[j]) and abs(len(bodies[i]) - len(bodies[j])) <= edits
+                            and (names[j], names[i]) not in self.waiting and self.root(names[i]) != self.root(names[j])):
+                        self.waiting[names[j], names[i]] = bodies[j], bodies[i]
+                        self.characters += len(bodies[i])
+            if len(self.waiting) >= WAITING or self.characters >= WAITING_CHARACTERS:
+                yield self.verified()
+            return
+        sizes, owner, place = np.array([len(b) for b in bodies]), np.array(own), np.array(block)
+        numbers: dict[bytes, int] = {}
+        group = np.array([numbers.setdefault(self.root(n), len(numbers)) for n in names])
+        # several lines at once meet all later ones that are not yet of their group
+        for start in range(0, count, TOGETHER):
+            i, j = (x.ravel() for x in np.meshgrid(np.arange(start, min(start + TOGETHER, count)), np.arange(start, count), indexing="ij"))
+            ask = (j > i) & (group[i] != group[j]) & (owner[i] | owner[j]) & (np.abs(sizes[i] - sizes[j]) <= edits)
+            if two:
+                ask &= place[i] != place[j]
+            i, j = i[ask], j[ask]
+            hit = within([bodies[x] for x in i], [bodies[x] for x in j], edits)
+            found = []
+            for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
+                if group[x] != group[y]:
+                    found.append((names[x], names[y]))
+                    self.join(names[x], names[y])
+                    group[group == group[y]] = group[x]
+            yield found
+
+
+def near_links(docs: DataFrame, first: DataFrame, edits: int, tables: Scratch) -> DataFrame:
     """``(a, b)``: links between different lines at most ``edits`` edits apart, enough to connect all such lines.
 
     ``first(line, doc_id, version, pos)`` is where each different line stands.
+    The lines of a key meet in one task, or, if they are many, block by block in
+    several. Pairs exist inside tasks only; of a key with n lines less than n
+    links come back from each of them.
     """
     # copies of a line from several tasks meet here; what only one line asks for goes no further
     by_key = Window.partitionBy("key")
     asked = keys(docs, edits).repartition("key").groupBy("key", "h").agg(F.max("own").alias("own"))
-    sized = stage(
+    shared = tables.stage(
         asked.withColumn("asking", F.count("*").over(by_key)).withColumn("indexed", F.count_if("own").over(by_key))
-        .where("asking > 1 AND indexed > 0"), "keys")
-    few = F.expr(f"indexed * asking <= {PAIRED * PAIRED}")
-    small, large = sized.where(few).select("key", "h", "own"), sized.where(~few).select("key", "h")
-    pairs = stage(
-        small.where("own").select("key", F.col("h").alias("a")).join(small.select("key", F.col("h").alias("b")), "key")
-        .where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    large = stage(large, "crowded")
-    needed = pairs.select(F.col("a").alias("h")).unionByName(pairs.select(F.col("b").alias("h"))).unionByName(
-        large.select("h")).distinct()
-    texts = stage(_texts(docs, first, needed), "texts")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = pa.array(within(batch.column(2).to_pylist(), batch.column(3).to_pylist(), edits))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
-
-    one = texts.select(F.col("h").alias("a"), F.col("line").alias("la"), F.col("body").alias("ta"))
-    other = texts.select(F.col("h").alias("b"), F.col("line").alias("lb"), F.col("body").alias("tb"))
-    verified = pairs.join(one, "a").join(other, "b").select("la", "lb", "ta", "tb").mapInArrow(verify, "a binary, b binary")
-
-    def connect(cell: pd.DataFrame) -> pd.DataFrame:
-        cell = cell.drop_duplicates("line").sort_values("line", ignore_index=True)
-        names, bodies = cell["line"].tolist(), cell["body"].tolist()
-        sizes = np.array([len(b) for b in bodies])
-        group, links = np.arange(len(cell)), []
-        # several lines at once meet all later ones that are not yet of their group
-        for start in range(0, len(cell), TOGETHER):
-            i, j = (x.ravel() for x in np.meshgrid(np.arange(start, min(start + TOGETHER, len(cell))), np.arange(start, len(cell)),
-                                                   indexing="ij"))
-            ask = (j > i) & (group[i] != group[j]) & (np.abs(sizes[i] - sizes[j]) <= edits)
-            i, j = i[ask], j[ask]
-            hit = within([bodies[x] for x in i], [bodies[x] for x in j], edits)
-            for x, y in zip(i[hit].tolist(), j[hit].tolist(), strict=True):
-                if group[x] != group[y]:
-                    links.append((names[x], names[y]))
-                    group[group == group[y]] = group[x]
-        return pd.DataFrame(links, columns=["a", "b"])
+        .where("asking > 1 AND indexed > 0").drop("indexed"), "keys")
+    texts = tables.stage(_texts(docs, first, shared.select("h").distinct()), "texts")
+    blocks = f"CAST(ceil(asking / {BLOCK}) AS INT)"
+    cells = shared.selectExpr("key", "h", "own", f"{blocks} AS blocks", f"CAST(pmod(h, {blocks}) AS INT) AS block").selectExpr(
+        "key", "h", "own", "block",
+        "inline(transform(sequence(0, blocks - 1), x -> struct(least(x, block) AS one, greatest(x, block) AS other)))")
+    cell = ["key", "one", "other"]
+    gathered = cells.join(texts, "h").repartition(*cell).sortWithinPartitions(*cell, "line").select(*cell, "line", "body", "own", "block")
+
+    def connect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        linker = Linker(edits)
+
+        def found() -> Iterator[list[tuple[bytes, bytes]]]:
+            rows = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+            for _, group in groupby(rows, lambda r: r[:3]):
+                lines = {r[3]: r[4:] for r in group}
+                yield from linker.links(list(lines), *(list(c) for c in zip(*lines.values(), strict=True)))
+            yield linker.verified()
+
+        for links in found():
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.binary()) for k in (0, 1)], ["a", "b"])
 
-    # a crowded key is a grid of blocks; each cell returns links that connect it, fewer than it has lines
-    blocks = stage(large.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "blocks")
-    grid = large.join(blocks, "key").withColumn("block", F.pmod("h", "blocks").cast("int")).select(
-        "h", "key", F.explode(F.expr(
-            "transform(sequence(0, blocks - 1), x -> struct(least(x, block) AS one, greatest(x, block) AS other))")).alias("pair"))
-    connected = grid.join(texts, "h").select("key", "pair", "line", "body").groupBy("key", "pair").applyInPandas(
-        connect, "a binary, b binary")
-    return stage(verified.unionByName(connected), "links")
+    return gathered.mapInArrow(connect, "a binary, b binary")
 
 
 def _texts(docs: DataFrame, first: DataFrame, needed: DataFrame) -> DataFrame:
@@ -300,23 +350,24 @@ def repeated_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
     Texts from which nothing goes have no row. Null texts have no lines. Rows
     that repeat id and text are one document; a null id comes first in order.
     """
-    every = stage(occurrences(docs), "lines")
     place = F.struct("doc_id", "version", "pos")
-    classes = stage(every.groupBy("line", "n").agg(F.min(place).alias("place"), F.count("*").alias("times")), "classes")
-    first = classes.where(f"n >= {NEAR_FROM}").select("line", "place.*")
-    roots = stage(components(near_links(docs, first, edits)), "roots")
-    joined = classes.join(roots, classes.line == roots.node, "left").select(
-        "line", "place", "times", F.coalesce("root", "line").alias("root"), F.col("root").isNotNull().alias("linked"))
-    common = stage(joined.where("times > 1 OR linked"), "common")
-    leads = stage(common.groupBy("root").agg(F.min("place").alias("lead")), "leads")
-    led = stage(common.join(leads, "root").select("line", "lead"), "led")
-    gone = every.join(led, "line").where(~place.eqNullSafe(F.col("lead")))
-    return gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    with Scratch(docs.sparkSession, "lines") as tables:
+        every = tables.stage(occurrences(docs), "lines")
+        classes = tables.stage(every.groupBy("line", "n").agg(F.min(place).alias("place"), F.count("*").alias("times")), "classes")
+        first = classes.where(f"n >= {NEAR_FROM}").select("line", "place.*")
+        roots = components(near_links(docs, first, edits, tables), tables)
+        joined = classes.join(roots, classes.line == roots.node, "left").select(
+            "line", "place", "times", F.coalesce("root", "line").alias("root"), F.col("root").isNotNull().alias("linked"))
+        common = tables.stage(joined.where("times > 1 OR linked"), "common")
+        leads = tables.stage(common.groupBy("root").agg(F.min("place").alias("lead")), "leads")
+        led = tables.stage(common.join(leads, "root").select("line", "lead"), "led")
+        gone = every.join(led, "line").where(~place.eqNullSafe(F.col("lead")))
+        return stage(gone.groupBy("doc_id", "version").agg(F.array_sort(F.collect_set("pos")).alias("removed")), "removed")
 
 
 def _with_removed(docs: DataFrame, edits: int, *carried: Column) -> DataFrame:
     """``(_row, _removed)``: of every row what is carried, with the numbers of its removed lines."""
-    removed = stage(repeated_lines(docs, edits), "removed").select(
+    removed = repeated_lines(docs, edits).select(
         F.col("doc_id").alias("_id"), F.col("version").alias("_of"), F.col("removed").alias("_removed"))
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), _version().alias("_version"),
                        F.struct(*carried).alias("_row"))

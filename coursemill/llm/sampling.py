@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coursemill.sources.staging import stage
+
 
 def draw() -> Column:
     """Digest of id and text: where a row stands in the order of drawing. Rows that repeat both are one."""
@@ -21,6 +23,7 @@ def bounded(docs: DataFrame, labelled: DataFrame, label: str, most: int) -> Data
     """
     order = Window.partitionBy(label).orderBy("draw")
     rows = labelled.where(F.col(label).isNotNull()).select("draw", label).distinct()
-    drawn = rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth")
+    # written, so that Spark knows its size before it plans the join with the texts
+    drawn = stage(rows.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= most).drop("nth"), "drawn")
     found = docs.select(draw().alias("draw"), F.coalesce("text", F.lit("")).alias("text")).join(drawn, "draw")
     return found.groupBy("draw", label).agg(F.first("text").alias("text")).select("draw", "text", label)

@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coursemill.llm.graph import components
-from coursemill.sources.staging import stage
+from coursemill.operators.components import components
+from coursemill.sources.staging import Scratch, stage
 
 BITS = 64
 SHINGLE = 3
@@ -50,15 +50,21 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(major.view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fp)`` of every row of ``docs(doc_id, text)``."""
+def fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """``(doc_id, version, fp)`` of every row of ``docs(doc_id, text)``; ``version`` is a digest of the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = pa.array([fingerprint(t.as_py()) for t in batch.column(1)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], ["doc_id", "fp"])
+            fps = pa.array([fingerprint(t.as_py(), size) for t in batch.column(2)], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], ["doc_id", "version", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long"), _version().alias("version"), "text")
+    return rows.mapInArrow(run, "doc_id long, version long, fp long")
+
+
+def _version():
+    """Digest of the text, which tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def bit_counts(fps: DataFrame) -> tuple[int, np.ndarray]:
@@ -156,7 +162,7 @@ def _flips(column: str, bits: Iterable[int]):
     return F.expr(f"concat(array({column}), transform(array({masks}), m -> {column} ^ m))")
 
 
-def links(fps: DataFrame, distance: int = 2) -> DataFrame:
+def links(fps: DataFrame, tables: Scratch, distance: int = 2) -> DataFrame:
     """``(a, b)``: links between distinct fingerprints, enough to connect all that differ in ``distance`` bits or fewer.
 
     Small buckets are verified pair by pair. In a bucket with more than
@@ -177,11 +183,11 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
         near = fps.select("fp", value.alias("value")).select("fp", F.lit(i).alias("part"), F.explode(
             _flips("value", group) if threshold else F.array("value")).alias("value"))
         probe.append(near)
-    indexed = stage(fps.select("fp", F.explode(F.array(*index)).alias("x")).select("fp", "x.part", "x.value"), "index")
+    indexed = tables.stage(fps.select("fp", F.explode(F.array(*index)).alias("x")).select("fp", "x.part", "x.value"), "index")
     probes = probe[0]
     for more in probe[1:]:
         probes = probes.unionByName(more)
-    sizes = stage(indexed.groupBy("part", "value").count().where("count > 1 OR part IN (%s)" % (
+    sizes = tables.stage(indexed.groupBy("part", "value").count().where("count > 1 OR part IN (%s)" % (
         ", ".join(str(i) for i, t in enumerate(thresholds) if t > 0) or "-1")), "sizes")
     small, large = sizes.where(f"count <= {PAIRED}").drop("count"), sizes.where(f"count > {PAIRED}").drop("count")
     keys = ["part", "value"]
@@ -194,45 +200,52 @@ def links(fps: DataFrame, distance: int = 2) -> DataFrame:
     crowded = probes.join(large, keys, "left_semi").select("fp").distinct()
     named = crowded.select("fp", F.explode(_flips("fp", range(BITS))).alias("near"))
     hubs = named.groupBy("near").agg(F.min("fp").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    near = named.join(stage(hubs, "hubs"), "near").where("a <> fp").select("a", F.col("fp").alias("b"))
+    near = named.join(tables.stage(hubs, "hubs"), "near").where("a <> fp").select("a", F.col("fp").alias("b"))
     return pairs.unionByName(near)
 
 
-def simhash_groups(docs: DataFrame, distance: int = 2) -> DataFrame:
+def _members(docs: DataFrame, distance: int, size: int) -> DataFrame:
+    """``(doc_id, version, fp, root, component_id)`` of every row; ``root`` is a fingerprint that stands for the class."""
+    marked = stage(fingerprints(docs, size), "fingerprints")
+    with Scratch(docs.sparkSession, "simhash") as tables:
+        distinct = tables.stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+        roots = components(links(distinct.select("fp"), tables, distance), tables)
+        rooted = tables.stage(distinct.join(roots, distinct.fp == roots.node, "left").select(
+            "fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+        names = tables.stage(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "names")
+        named = stage(rooted.join(names, "root").select("fp", "root", "component_id"), "named")
+    return marked.join(named, "fp")
+
+
+def simhash_groups(docs: DataFrame, distance: int = 2, size: int = SHINGLE) -> DataFrame:
     """Class of every row: ``(doc_id, fp, component_id)``.
 
-    ``component_id`` is the smallest ``doc_id`` reached over fingerprints that
-    differ in ``distance`` bits or fewer, the row itself included.
+    ``component_id`` is the smallest ``doc_id`` reached over fingerprints of
+    ``size``-word shingles that differ in ``distance`` bits or fewer, the row
+    itself included.
 
     Null and wordless texts have fingerprint 0 and link like any other; equal
     texts and repeated rows share a class and come back once each; a null
     ``doc_id`` stays null and does not name a class unless no other id is in it.
     Extra columns are not read. An empty table gives no rows.
     """
-    marked = stage(fingerprints(docs), "fingerprints")
-    distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = components(links(distinct.select("fp"), distance))
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = stage(rooted, "rooted")
-    names = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stage(rooted.join(stage(names, "names"), "root").select("fp", "component_id"), "named")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
-
-
-def keep_one(docs: DataFrame, distance: int = 2) -> DataFrame:
-    """One document of each class, the one whose ``doc_id`` names it; all columns are kept.
-
-    Rows that repeat that id stay once for each different text. Rows with a null
-    ``doc_id`` cannot be named, so they are kept.
+    return _members(docs, distance, size).select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, distance: int = 2, size: int = SHINGLE) -> DataFrame:
+    """One row of each class of ``simhash_groups``, all columns kept, whatever their names.
+
+    It is the one with the smallest ``doc_id``, and if several texts of the class
+    have that id, the one with the least digest; a row without an id stays only
+    if no other of its class has one. Of rows that repeat id and text any one
+    stays. Null and wordless texts are one class. An empty table gives no rows.
     """
-    named = simhash_groups(docs, distance).where("doc_id = component_id")
-    kept = stage(named.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_times")), "kept")
-    once, often = kept.where("_times = 1").drop("_times"), kept.where("_times > 1").drop("_times")
-    same = F.col("doc_id").cast("long") == F.col("_kept_id")
-    repeated = docs.join(often, same, "left_semi").withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    return (
-        docs.join(once, same, "left_semi")
-        .unionByName(repeated.dropDuplicates(["doc_id", "_digest"]).drop("_digest"))
-        .unionByName(docs.where("doc_id IS NULL"))
-    )
+    counted = _members(docs, distance, size).groupBy("root", "doc_id", "version").agg(F.count("*").alias("times"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "version", "times")).alias("k")
+    kept = stage(counted.groupBy("root").agg(least).select("k.doc_id", "k.version", "k.times"), "kept")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), _version().alias("of"),
+                       F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("version"))
+    once = rows.join(kept.where("times = 1"), same, "left_semi")
+    often = rows.join(kept.where("times > 1"), same, "left_semi").dropDuplicates(["id", "of"])
+    return once.unionByName(often).select(*(F.col(f"row.`{c}`") for c in docs.columns))
