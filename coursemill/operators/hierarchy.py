@@ -1,9 +1,11 @@
 """Course -> learning path -> module -> unit from a page store.
 
-Pages are read and tokenised once. ``page_facts`` turns every page row into a
-narrow record (title, child links, extracted content) without a shuffle, and
-the hierarchy is four left joins on URL over those records: raw html never
-crosses the network.
+The levels are worked off one after the other. The URLs that a level wants form
+its frontier; a fixed-size bitmap of their hashes is broadcast to the page store,
+and only pages it lets through are parsed, each for what its level needs. Pages
+beyond a limit, unit pages that are not asked for and units that an earlier run
+has stored are never tokenised, and raw html never crosses the network: a page
+becomes a narrow record in the scan stage, and the joins on URL read those.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from pyspark.sql import functions as F
 
 from coursemill.functions import markup, urls
 from coursemill.functions.columns import let
-from coursemill.operators import content, structure
-from coursemill.sources.staging import stage
+from coursemill.operators import content, resume, structure
+from coursemill.sources.staging import Scratch, stage
 
+#: Bits of a frontier's filter: as a broadcast table it takes at most an eighth of that in bytes, whatever the frontier.
+FILTER_BITS = 1 << 26
 CONTENT_FIELDS = ["content", "headings", "code_blocks", "images", "links"]
 UNIT_KEYS = ["course_url", "path_ord", "module_ord", "unit_ord"]
 
@@ -43,37 +47,52 @@ def page_lookup(frontier: DataFrame, pages: DataFrame) -> DataFrame:
     return frontier.join(pages.select("url", "html"), "url", "left")
 
 
-def page_facts(pages: DataFrame, site: str = urls.SITE, with_content: bool = True) -> DataFrame:
-    """One narrow record per page.
+def frontier_pages(pages: DataFrame, frontier: DataFrame) -> DataFrame:
+    """``(url, html)`` of the ``pages`` whose URL may be in ``frontier(url)``, without a shuffle of pages.
 
-    ``(url, row_id, fetched, html_digest, html_bytes, title, paths, modules, units[, content...])``;
-    an empty page counts as a failed fetch, like one without html.
+    No wanted page is lost. Others pass with the share of set bits, so a frontier
+    much larger than ``FILTER_BITS`` only saves less; the join on URL that follows decides.
     """
+    place = f"pmod(xxhash64(url), {FILTER_BITS}L) + 1"
+    bits = frontier.selectExpr(f"{place} AS place").groupBy(F.expr("bitmap_bucket_number(place)").alias("bucket")).agg(
+        F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits"))
+    bit = f"bitmap_bit_position({place})"
+    byte = f"CAST(conv(hex(substr(bits, CAST({bit} DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
+    return (
+        pages.select("url", "html").join(F.broadcast(bits), F.expr(f"bitmap_bucket_number({place})") == F.col("bucket"))
+        .where(f"getbit({byte}, CAST({bit} % 8 AS INT)) = 1")
+        .select("url", "html")
+    )
 
-    def facts(whole: str, clean: str | None) -> str:
-        def fields(links: str) -> str:
-            extra = f", 'body', {content.record(clean, 'url', site)}" if clean else ""
-            return f"""named_struct(
-                'title', {structure.page_title(whole)},
-                'paths', {structure.path_links(whole, site)},
-                'modules', {structure.module_links(links, 'url', site)},
-                'units', {structure.unit_links(links, 'url')}{extra})"""
 
-        return let(structure.anchors(whole), fields)
+def _facts(pages: DataFrame, parsed: str | None, *more: str) -> DataFrame:
+    """One narrow record per page row; an empty page counts as a failed fetch, like one without html."""
+    columns = ["url", "monotonically_increasing_id() AS row_id", "coalesce(html <> '', false) AS fetched",
+               "xxhash64(html) AS html_digest", *more]
+    if parsed is None:
+        return pages.selectExpr(*columns)
+    return pages.selectExpr(*columns, f"IF(coalesce(html, '') = '', NULL, {parsed}) AS f").selectExpr(
+        "url", "row_id", "fetched", "html_digest", *(m.split(" AS ")[-1] for m in more), "f.*")
 
-    if with_content:
-        parsed = let(markup.documents("html"), lambda d: facts(f"{d}.whole", f"{d}.clean"))
-    else:
-        parsed = let(markup.document("html", False), lambda d: facts(d, None))
-    columns = ["url", "row_id", "fetched", "html_digest", "html_bytes", "f.title", "f.paths", "f.modules", "f.units"]
-    return pages.selectExpr(
-        "url",
-        "monotonically_increasing_id() AS row_id",
-        "coalesce(html <> '', false) AS fetched",
-        "xxhash64(html) AS html_digest",
-        "coalesce(octet_length(html), 0) AS html_bytes",
-        f"IF(coalesce(html, '') = '', NULL, {parsed}) AS f",
-    ).select(*columns, *(["f.body.*"] if with_content else []))
+
+def level_facts(pages: DataFrame, level: str, site: str = urls.SITE) -> DataFrame:
+    """``(url, row_id, fetched, html_digest, title, children)`` of course, path or module pages."""
+
+    def fields(doc: str) -> str:
+        children = {
+            "course": lambda: structure.path_links(doc, site),
+            "path": lambda: structure.module_links(structure.anchors(doc), "url", site),
+            "module": lambda: structure.unit_links(structure.anchors(doc), "url"),
+        }[level]()
+        return f"named_struct('title', {structure.page_title(doc)}, 'children', {children})"
+
+    return _facts(pages, let(markup.document("html", False), fields))
+
+
+def unit_facts(pages: DataFrame, fields: list[str], site: str = urls.SITE) -> DataFrame:
+    """``(url, row_id, fetched, html_digest, html_bytes[, fields...])`` of unit pages; without fields nothing is parsed."""
+    parsed = let(markup.document("html", True), lambda doc: content.record(doc, "url", site, fields)) if fields else None
+    return _facts(pages, parsed, "coalesce(octet_length(html), 0) AS html_bytes")
 
 
 def unique_pages(facts: DataFrame) -> DataFrame:
@@ -85,18 +104,16 @@ def unique_pages(facts: DataFrame) -> DataFrame:
     rank = F.struct(~F.col("fetched"), "html_digest", "row_id")
     repeated = facts.groupBy("url").agg(F.min(rank).alias("first"), F.count("*").alias("n")).where("n > 1")
     surplus = facts.select("url", "row_id").join(repeated, "url").where("row_id <> first.row_id").select("row_id")
-    return facts.join(stage(surplus, "repeated-pages"), "row_id", "left_anti")
+    return facts.join(surplus, "row_id", "left_anti")
 
 
-def _expand(rows: DataFrame, facts: DataFrame, level: str, child: str, selected: str, anchor: str) -> DataFrame:
-    """Look the rows' pages up and fan out to their children.
+def _expand(rows: DataFrame, facts: DataFrame, level: str, selected: str, anchor: str) -> DataFrame:
+    """Join the rows' page records.
 
     Rows that are not looked up get a key of their own instead of null, which
     spreads them over the partitions of the join.
     """
-    looked_up = facts.selectExpr(
-        "url AS page_key", "fetched AS page_fetched", "title AS page_title", f"{child} AS children"
-    )
+    looked_up = facts.selectExpr("url AS page_key", "fetched AS page_fetched", "title AS page_title", "children")
     keyed = rows.withColumn(
         "row_key", F.expr(f"IF({selected}, {level}_url, concat('-', coalesce({level}_url, {anchor})))")
     )
@@ -115,33 +132,35 @@ def _fan_out(rows: DataFrame, keep: list[str], ord_name: str, columns: list[str]
     return exploded.selectExpr(*keep, "siblings", f"CAST(child_ord AS BIGINT) AS {ord_name}", *columns)
 
 
-def structure_rows(seeds: DataFrame, facts: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """One row per unit; parents without children keep one row with nulls."""
+def structure_rows(pages: DataFrame, seeds: DataFrame, tables: Scratch, site: str = urls.SITE, limits: Limits = Limits()) -> DataFrame:
+    """One row per unit; parents without children keep one row with nulls.
+
+    ``seeds`` are the first frontier; every level hands the next one its own.
+    """
     course_cols = ["course_url", "course_title", "course_status"]
     path_cols = [*course_cols, "path_ord", "path_url", "learn_uid", "path_title", "path_status"]
     module_cols = [*path_cols, "module_ord", "module_url", "module_title", "module_status"]
 
-    courses = _expand(
-        seeds.selectExpr("course_url", "'' AS course_title"), facts, "course", "paths", "true", "course_url"
-    )
-    paths = _fan_out(
-        courses, course_cols, "path_ord",
-        ["c.url AS path_url", "c.learn_uid AS learn_uid", "c.title AS path_title"],
-    )
-    paths = _expand(paths, facts, "path", "modules", Limits.selects("path_ord", limits.paths), "course_url")
-    modules = _fan_out(paths, path_cols, "module_ord", ["c.url AS module_url", "c.title AS module_title"])
-    modules = _expand(
-        modules, facts, "module", "units", Limits.selects("module_ord", limits.modules),
-        "concat(course_url, coalesce(path_url, ''))",
-    )
-    return _fan_out(
-        modules, module_cols, "unit_ord",
-        ["c.number AS unit_number", "c.title AS unit_title", "c.url AS unit_url", "c.href AS unit_href"],
+    def children(rows: DataFrame, level: str, selected: str, anchor: str, keep: list[str], ord_name: str, columns: list[str]) -> DataFrame:
+        frontier = rows.where(f"{selected} AND {level}_url IS NOT NULL").selectExpr(f"{level}_url AS url")
+        facts = tables.stage(level_facts(frontier_pages(pages, frontier), level, site), f"{level}-pages")
+        return _fan_out(_expand(rows, unique_pages(facts), level, selected, anchor), keep, ord_name, columns)
+
+    courses = seeds.selectExpr("course_url", "'' AS course_title")
+    paths = tables.stage(children(
+        courses, "course", "true", "course_url", course_cols, "path_ord",
+        ["c.url AS path_url", "c.learn_uid AS learn_uid", "c.title AS path_title"]), "paths")
+    modules = tables.stage(children(
+        paths, "path", Limits.selects("path_ord", limits.paths), "course_url", path_cols, "module_ord",
+        ["c.url AS module_url", "c.title AS module_title"]), "modules")
+    return children(
+        modules, "module", Limits.selects("module_ord", limits.modules), "concat(course_url, coalesce(path_url, ''))",
+        module_cols, "unit_ord", ["c.number AS unit_number", "c.title AS unit_title", "c.url AS unit_url", "c.href AS unit_href"],
     ).withColumn("unit_selected", F.expr(Limits.selects("unit_ord", limits.units))).drop("siblings")
 
 
 def with_unit_pages(rows: DataFrame, facts: DataFrame, fields: list[str]) -> DataFrame:
-    """Join fetch status, page size and the given content fields of selected units."""
+    """Join fetch status, page size and the given content fields of the units to look up."""
     body = facts.selectExpr("url AS page_key", "fetched AS page_fetched", "html_bytes", *fields)
     key = F.expr("""IF(unit_selected, unit_url, concat('-', coalesce(unit_url,
         concat_ws(' ', course_url, path_url, module_url))))""")
@@ -161,14 +180,36 @@ def course_hierarchy(
     limits: Limits = Limits(),
     extract_content: bool = True,
     look_up_units: bool = True,
+    snapshot: DataFrame | None = None,
+    fields: list[str] | None = None,
 ) -> DataFrame:
     """The whole hierarchy, one row per unit, for the seed courses.
 
     Without ``extract_content`` no content is built; without ``look_up_units``
-    unit pages are not joined at all.
+    unit pages are not touched at all. ``fields`` limits what is extracted.
+
+    With a ``snapshot`` of an earlier run (as in ``resume``), selected units it
+    holds content for get that content, status ``resumed`` and ``resumed`` true;
+    their pages are not looked up.
     """
-    facts = unique_pages(stage(page_facts(pages, site, extract_content), "page-facts"))
-    rows = structure_rows(seeds, facts, limits)
-    if not (extract_content or look_up_units):
-        return rows
-    return with_unit_pages(rows, facts, CONTENT_FIELDS if extract_content else [])
+    wanted = list(fields or CONTENT_FIELDS) if extract_content or snapshot is not None else []
+    with Scratch(pages.sparkSession, "hierarchy") as tables:
+        rows = structure_rows(pages, seeds, tables, site, limits)
+        if not (extract_content or look_up_units or snapshot is not None):
+            return stage(rows, "structure")
+        if snapshot is not None:
+            rows = resume.with_stored(rows, snapshot, wanted, "unit_selected")
+        rows = stage(rows, "units")
+    to_fetch = rows.where("unit_selected AND unit_url IS NOT NULL")
+    if snapshot is not None:
+        to_fetch, rows = to_fetch.where("stored IS NULL"), rows.withColumn("fetching", F.expr("unit_selected AND stored IS NULL"))
+    extracted = wanted if extract_content else []
+    if extract_content or look_up_units:
+        found = frontier_pages(pages, to_fetch.selectExpr("unit_url AS url"))
+        facts = unique_pages(stage(unit_facts(found, extracted, site), "unit-pages"))
+    else:
+        facts = pages.sparkSession.createDataFrame([], "url string, fetched boolean, html_bytes int")
+    if snapshot is None:
+        return with_unit_pages(rows, facts, extracted)
+    looked_up = with_unit_pages(rows.withColumnsRenamed({"unit_selected": "chosen", "fetching": "unit_selected"}), facts, extracted)
+    return resume.merged(looked_up.drop("unit_selected").withColumnRenamed("chosen", "unit_selected"), wanted, extracted)

@@ -50,3 +50,18 @@ def resume_merge(units: DataFrame, snapshot: DataFrame, fields: list[str]) -> Da
         *[F.when(F.col("stored").isNotNull(), F.col(f"stored.{f}")).otherwise(F.col(f)).alias(f) for f in fields],
         F.col("stored").isNotNull().alias("resumed"),
     )
+
+
+def with_stored(units: DataFrame, snapshot: DataFrame, fields: list[str], selected: str) -> DataFrame:
+    """Units with ``stored``: what the snapshot holds for them, null if nothing or if they are not selected."""
+    rows = units.join(stored_units(snapshot, fields), KEY, "left")
+    return rows.select(*units.columns, F.when(F.expr(selected), F.col("stored")).alias("stored"))
+
+
+def merged(units: DataFrame, fields: list[str], extracted: list[str]) -> DataFrame:
+    """Units after a run that looked up only what was not ``stored``: fields, status and flag of both kinds in one."""
+    stored = F.col("stored").isNotNull()
+    new = {f: F.when(stored, F.col(f"stored.{f}")).otherwise(F.col(f)) if f in extracted else F.col(f"stored.{f}") for f in fields}
+    new["unit_status"] = F.when(stored, F.lit("resumed")).otherwise(F.col("unit_status"))
+    others = [c for c in units.columns if c not in {*new, "stored"}]
+    return units.select(*others, *(c.alias(n) for n, c in new.items()), stored.alias("resumed"))

@@ -40,12 +40,14 @@ def _bank(spark: SparkSession, sf: str) -> DataFrame:
     return bank.with_options(table(spark, sf, "question_bank"))
 
 
-def _hierarchy(spark: SparkSession, sf: str, limits: Limits = Limits(), **mode: bool) -> DataFrame:
+def _hierarchy(spark: SparkSession, sf: str, limits: Limits = Limits(), **mode) -> DataFrame:
     return hierarchy.course_hierarchy(table(spark, sf, "page_store"), table(spark, sf, "seeds"), BASE, limits, **mode)
 
 
 STRUCTURE_ONLY = {"extract_content": False, "look_up_units": False}
 NO_CONTENT = {"extract_content": False}
+TEXT_ONLY = {"fields": ["content"]}
+TRAINING = {"fields": ["content", "headings", "code_blocks", "images"]}
 
 
 def _graded(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,7 +92,7 @@ def question_write(spark, sf):
 @register("training_discover")
 def training_discover(spark, sf):
     root = new_path(spark, "discover")
-    records = publish.training_records(_hierarchy(spark, sf), STAMP)
+    records = publish.training_records(_hierarchy(spark, sf, **TRAINING), STAMP)
     slugged = records.withColumn("course_slug", F.expr(urls.output_slug("course_title")))
     files.write_training(slugged, f"{root}/all_data/all_training.jsonl")
     return files.read_training(spark, root).groupBy("course_slug").agg(
@@ -101,7 +103,7 @@ def training_discover(spark, sf):
 @register("training_roundtrip")
 def training_roundtrip(spark, sf):
     root = new_path(spark, "training")
-    records = publish.training_records(_hierarchy(spark, sf), STAMP)
+    records = publish.training_records(_hierarchy(spark, sf, **TRAINING), STAMP)
     slugged = records.withColumn("course_slug", F.expr(urls.output_slug("course_title")))
     files.write_training(slugged, f"{root}/all_data/all_training.jsonl")
     return _training_columns(files.read_training(spark, root))
@@ -299,43 +301,45 @@ def structure_only(spark, sf):
     return _hierarchy(spark, sf, **STRUCTURE_ONLY).select(*STRUCTURE_COLUMNS)
 
 
-def _resume_inputs(spark, sf, with_content: bool):
-    mode = {} if with_content else STRUCTURE_ONLY
-    rows = _hierarchy(spark, sf, **mode).where("unit_url IS NOT NULL")
-    keep = ["unit_ord", "unit_url", *resume.KEY, *(["content"] if with_content else [])]
-    snapshot = table(spark, sf, "unit_snapshot").withColumnRenamed("page_id", "ord")
-    return rows.select(*keep), snapshot
+def _snapshot(spark, sf):
+    return table(spark, sf, "unit_snapshot").withColumnRenamed("page_id", "ord")
+
+
+def _resume_inputs(spark, sf):
+    rows = _hierarchy(spark, sf, **STRUCTURE_ONLY).where("unit_url IS NOT NULL")
+    return rows.select("unit_ord", "unit_url", *resume.KEY), _snapshot(spark, sf)
 
 
 @register("snapshot_match")
 def snapshot_match(spark, sf):
-    return resume.snapshot_match(*_resume_inputs(spark, sf, False))
+    return resume.snapshot_match(*_resume_inputs(spark, sf))
 
 
 @register("units_done")
 def units_done(spark, sf):
-    return resume.units_done(*_resume_inputs(spark, sf, False))
+    return resume.units_done(*_resume_inputs(spark, sf))
 
 
 @register("units_todo")
 def units_todo(spark, sf):
-    return resume.units_todo(*_resume_inputs(spark, sf, False))
+    return resume.units_todo(*_resume_inputs(spark, sf))
 
 
 @register("resume_merge")
 def resume_merge(spark, sf):
-    units, snapshot = _resume_inputs(spark, sf, True)
-    return resume.resume_merge(units, snapshot, ["content"]).withColumn("content", F.md5("content"))
+    """A run that goes on from a snapshot: stored units keep their content, the others are looked up."""
+    rows = _hierarchy(spark, sf, snapshot=_snapshot(spark, sf), **TEXT_ONLY).where("unit_url IS NOT NULL")
+    return rows.select("unit_ord", "unit_url", *resume.KEY, F.md5("content").alias("content"), "resumed")
 
 
 @register("training_records")
 def training_records(spark, sf):
-    return _training_columns(publish.training_records(_hierarchy(spark, sf), STAMP))
+    return _training_columns(publish.training_records(_hierarchy(spark, sf, **TRAINING), STAMP))
 
 
 @register("compaction")
 def compaction(spark, sf):
-    return publish.compaction(_hierarchy(spark, sf))
+    return publish.compaction(_hierarchy(spark, sf, **TEXT_ONLY))
 
 
 # --- content -------------------------------------------------------------
@@ -489,8 +493,8 @@ def question_stats(spark, sf):
 
 @register("module_inventory")
 def module_inventory(spark, sf):
-    units = publish.training_records(_hierarchy(spark, sf), STAMP).withColumnRenamed("module_title", "module")
-    return bank.module_inventory(units, "content")
+    units = _hierarchy(spark, sf, **TEXT_ONLY).where("content <> ''")
+    return bank.module_inventory(units.withColumnsRenamed({"path_title": "learning_path", "module_title": "module"}), "content")
 
 
 @register("mix_vs_target")

@@ -157,9 +157,85 @@ def test_missing_and_failed_pages(spark):
     ]))
 
 
+def parsed_pages(monkeypatch):
+    """What is parsed from now on: URLs by level."""
+    seen = {"course": set(), "path": set(), "module": set(), "unit": set(), "looked up": set()}
+    levels, units = hierarchy.level_facts, hierarchy.unit_facts
+
+    def level_facts(pages, level, site):
+        seen[level] |= {r.url for r in pages.select("url").collect()}
+        return levels(pages, level, site)
+
+    def unit_facts(pages, fields, site):
+        seen["unit" if fields else "looked up"] |= {r.url for r in pages.select("url").collect()}
+        return units(pages, fields, site)
+
+    monkeypatch.setattr(hierarchy, "level_facts", level_facts)
+    monkeypatch.setattr(hierarchy, "unit_facts", unit_facts)
+    return seen
+
+
+def urls_of(rows, level, condition="true"):
+    return {r[0] for r in rows.where(f"{level}_url IS NOT NULL AND {condition}").select(f"{level}_url").distinct().collect()}
+
+
+def test_only_the_frontier_is_parsed(spark, sf_dir, rows, monkeypatch):
+    pages, seeds = table(spark, sf_dir, "page_store"), table(spark, sf_dir, "seeds")
+    stored = {r.url for r in pages.select("url").collect()}
+    seen = parsed_pages(monkeypatch)
+    limits = Limits(paths=2, modules=2, units=3)
+    limited = hierarchy.course_hierarchy(pages, seeds, BASE, limits)
+    assert seen["course"] == urls_of(limited, "course")
+    assert seen["path"] == stored & urls_of(limited, "path", "path_status <> 'not_selected'")
+    assert seen["module"] == stored & urls_of(limited, "module", "module_status <> 'not_selected'")
+    assert seen["unit"] == stored & urls_of(limited, "unit", "unit_status <> 'not_selected'") < urls_of(rows, "unit")
+    seen = parsed_pages(monkeypatch)
+    hierarchy.course_hierarchy(pages, seeds, BASE, extract_content=False, look_up_units=False)
+    assert not seen["unit"] | seen["looked up"] and seen["module"]
+    hierarchy.course_hierarchy(pages, seeds, BASE, extract_content=False)
+    assert not seen["unit"] and seen["looked up"] == stored & urls_of(rows, "unit")
+
+
+def test_filter_of_a_frontier_loses_no_page(spark, monkeypatch):
+    pages = spark.range(5000).selectExpr("concat('u', id) AS url", "'x' AS html", "'y' AS bits", "1 AS bucket", "2 AS place").union(
+        spark.sql("SELECT NULL, NULL, NULL, NULL, NULL"))
+    frontier = spark.range(0, 9000, 7).selectExpr("concat('u', id) AS url")
+    wanted = {f"u{i}" for i in range(0, 5000, 7)}
+    assert {r.url for r in hierarchy.frontier_pages(pages, frontier).collect()} == wanted
+    monkeypatch.setattr(hierarchy, "FILTER_BITS", 1 << 12)  # nearly a third of the bits are set
+    assert wanted < {r.url for r in hierarchy.frontier_pages(pages, frontier).collect()} < {f"u{i}" for i in range(5000)} | {None}
+    assert hierarchy.frontier_pages(pages, frontier.limit(0)).count() == 0
+    plan = hierarchy.frontier_pages(pages, frontier)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
 # --- resume --------------------------------------------------------------
 
 
+def test_a_resumed_run_looks_up_what_is_not_stored(spark, sf_dir, rows, monkeypatch):
+    pages, seeds = table(spark, sf_dir, "page_store"), table(spark, sf_dir, "seeds")
+    units = rows.where("unit_ord IS NOT NULL")
+    fields = ["content", "headings", "code_blocks", "images", "links"]
+    first = units.where("content <> '' AND unit_ord % 2 = 0").selectExpr("unit_ord AS ord", *resume.KEY, *fields)
+    snapshot = first.withColumn("content", F.concat(F.lit("stored: "), "content")).cache()
+    seen = parsed_pages(monkeypatch)
+    limits = Limits(units=5)
+    again = hierarchy.course_hierarchy(pages, seeds, BASE, limits, snapshot=snapshot).cache()
+    expected = resume.resume_merge(units, snapshot, fields).where("unit_ord < 5")
+    got = again.where("unit_ord < 5").select(*expected.drop("html_bytes", "unit_status").columns)
+    names = [c for c, kind in got.dtypes if "<" not in kind]
+    assert got.select(names).exceptAll(expected.select(names)).count() == 0 and got.count() == expected.count()
+    assert {str(r) for r in got.select("unit_url", *fields).collect()} == {str(r) for r in expected.select("unit_url", *fields).collect()}
+    resumed = urls_of(again, "unit", "resumed")
+    assert resumed and not resumed & seen["unit"]
+    assert {r[0] for r in again.where("resumed").select("unit_status").distinct().collect()} == {"resumed"}
+    assert again.where("unit_status = 'not_selected' AND (resumed OR content IS NOT NULL)").count() == 0
+    # a run without extraction takes stored content and nothing else
+    seen["unit"].clear()
+    stored = hierarchy.course_hierarchy(pages, seeds, BASE, limits, False, False, snapshot)
+    assert stored.where("content IS NOT NULL").count() == again.where("resumed").count() and not seen["unit"]
+
+
 def test_todo_and_done_cover_all_units(spark, sf_dir, rows):
     units = rows.where("unit_url IS NOT NULL")
     snapshot = table(spark, sf_dir, "unit_snapshot").withColumnRenamed("page_id", "ord")
