@@ -12,11 +12,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coursemill.functions import rules
-from coursemill.functions.columns import quoted, strip
-from coursemill.operators import ordinals
+from coursemill.functions.columns import quote, quoted, strip
+from coursemill.operators import ordinals, permutation
 from coursemill.operators.bank import LETTERS
 
 SHOWN_MODULES = 3
+QUOTED_BAR = quote("|")
 
 
 # --- Q1, L3, L4 ----------------------------------------------------------
@@ -96,6 +97,98 @@ def available_questions(selection: DataFrame, catalog: DataFrame) -> DataFrame:
     return some.unionByName(everything)
 
 
+def numbered_questions(questions: DataFrame, catalog: DataFrame) -> DataFrame:
+    """``(global_no, learning_path, question_id)``: 0-based number of each question by path and id.
+
+    Questions of a path are numbered by bucketed counting; where a path starts
+    follows from the catalogue.
+    """
+    within = ordinals.row_number(
+        questions.select("learning_path", "question_id"), ["learning_path"], ["question_id"], ordinals.id_bucket("question_id"), "nth")
+    starts = _path_starts(catalog)
+    return within.join(starts, within.learning_path.eqNullSafe(starts.path)).selectExpr(
+        "start + nth - 1 AS global_no", "learning_path", "question_id")
+
+
+def _path_starts(catalog: DataFrame) -> DataFrame:
+    """``(path, start, n)``; the window runs over one row per learning path."""
+    before = Window.orderBy("path_no").rowsBetween(Window.unboundedPreceding, -1)
+    return catalog.select(
+        F.col("learning_path").alias("path"), F.coalesce(F.sum("question_count").over(before), F.lit(0)).alias("start"),
+        F.col("question_count").alias("n"))
+
+
+def attempt_quizzes(requests: DataFrame, selection: DataFrame, catalog: DataFrame, seed: int) -> DataFrame:
+    """``(attempt_id, total, available, ranges, keys)``: each attempt's quiz without its questions.
+
+    ``ranges`` are the parts of the question numbering that its paths cover, with
+    their place in the selection, none if it takes all paths; ``keys`` are drawn
+    from the seed and the attempt. ``total`` is null if the size was not accepted.
+    """
+    sizes = sample_sizes(requests.join(available_questions(selection, catalog), "attempt_id"))
+    starts = _path_starts(catalog)
+    chosen = selection.where("NOT all_paths AND learning_path IS NOT NULL").join(starts, F.col("learning_path") == F.col("path"))
+    # few paths for each attempt; their places in the selection are running sums over the array
+    listed = chosen.groupBy("attempt_id").agg(F.array_sort(F.collect_list(F.struct("start", "n"))).alias("l"))
+    places = "transform(l, (p, i) -> named_struct('from', aggregate(slice(l, 1, i), 0L, (a, x) -> a + x.n), 'n', p.n, 'start', p.start))"
+    ranged = listed.selectExpr("attempt_id", f"{places} AS ranges")
+    return sizes.join(ranged, "attempt_id", "left").selectExpr(
+        "attempt_id", "total", "available", "ranges", f"{permutation.keys(f'concat({seed}, {QUOTED_BAR}, attempt_id)')} AS keys")
+
+
+def quiz_questions(quizzes: DataFrame, numbered: DataFrame, positions: DataFrame | None = None) -> DataFrame:
+    """``(attempt_id, position, question_id)``: the questions of every attempt's own quiz, in its own order.
+
+    A keyed permutation takes each position to a question number, so an attempt
+    with n questions makes n rows and its selection is never listed. ``positions``
+    limits the result to some of them. An attempt without a quiz has one row with
+    nulls, unless positions are given.
+    """
+    if positions is None:
+        rows = quizzes.selectExpr("*", "explode_outer(IF(total > 0, sequence(1L, total), NULL)) AS position")
+    else:
+        rows = quizzes.join(positions, "attempt_id")
+    rank = permutation.permuted("(position - 1)", "available", "keys")
+    # a position without a quiz gets a number of its own, which no question has
+    placed = rows.selectExpr("attempt_id", "position", "ranges", f"IF(position IS NULL, NULL, {rank}) AS rank").selectExpr(
+        "attempt_id", "position", "CASE WHEN rank IS NULL THEN -1 - pmod(xxhash64(attempt_id), 1000003L) WHEN ranges IS NULL THEN rank ELSE "
+        "aggregate(ranges, -1L, (no, r) -> IF(rank >= r.from AND rank < r.from + r.n, r.start + rank - r.from, no)) END AS global_no")
+    return placed.join(numbered.select("global_no", "question_id"), "global_no", "left").select("attempt_id", "position", "question_id")
+
+
+def answered_positions(quizzes: DataFrame, numbered: DataFrame, answered: DataFrame) -> DataFrame:
+    """``(attempt_id, position)`` of the answers to questions of the attempt's quiz: the permutation taken back."""
+    asked = answered.select("attempt_id", "question_id").join(numbered, "question_id").join(quizzes, "attempt_id")
+    rank = """IF(ranges IS NULL, global_no, aggregate(ranges, -1L, (no, r) ->
+        IF(global_no >= r.start AND global_no < r.start + r.n, r.from + global_no - r.start, no)))"""
+    ranked = asked.selectExpr("attempt_id", "total", "available", "keys", f"{rank} AS rank").where("rank >= 0 AND total > 0")
+    place = permutation.permuted("rank", "available", "keys", inverse=True)
+    return ranked.selectExpr("attempt_id", "total", f"{place} + 1 AS position").where("position <= total").select("attempt_id", "position")
+
+
+def open_positions(sizes: DataFrame, done: DataFrame) -> DataFrame:
+    """``(attempt_id, position)`` of ``sizes(attempt_id, total)`` that are not in ``done(attempt_id, position)``.
+
+    Done positions are bits, 64 to a word, joined by a combining aggregate.
+    Finished attempts are left out by the number of their bits; of the others the
+    words are listed, and only unset bits become rows.
+    """
+    words = done.selectExpr("attempt_id", "(position - 1) DIV 64 AS word", "shiftleft(1L, CAST((position - 1) % 64 AS INT)) AS bit").groupBy(
+        "attempt_id", "word").agg(F.bit_or("bit").alias("bits"))
+    counted = words.groupBy("attempt_id").agg(F.sum(F.bit_count("bits")).alias("n_done"))
+    unfinished = sizes.join(counted, "attempt_id", "left").where("total > coalesce(n_done, 0)").selectExpr(
+        "attempt_id", "total", "explode(sequence(0L, (total - 1) DIV 64)) AS word")
+    unset = "filter(sequence(0, 63), b -> word * 64 + b < total AND (bits IS NULL OR getbit(bits, b) = 0))"
+    return unfinished.join(words, ["attempt_id", "word"], "left").selectExpr(
+        "attempt_id", "word", f"explode({unset}) AS b").selectExpr("attempt_id", "word * 64 + b + 1 AS position")
+
+
+def quiz_remainder(quizzes: DataFrame, numbered: DataFrame, answered: DataFrame) -> DataFrame:
+    """``(attempt_id, position, question_id)``: what each attempt has still to answer of its own quiz, in order of position."""
+    left = open_positions(quizzes.where("total > 0").select("attempt_id", "total"), answered_positions(quizzes, numbered, answered))
+    return quiz_questions(quizzes, numbered, left)
+
+
 # --- Q2, J8, W4 ----------------------------------------------------------
 
 
@@ -207,12 +300,10 @@ def accepted_answers(answers: DataFrame) -> DataFrame:
 
 
 def remaining_questions(sampled: DataFrame, attempts: DataFrame, answered: DataFrame, total: int) -> DataFrame:
-    """Questions of the sample that an attempt has no accepted answer to, in sample order."""
-    todo = attempts.selectExpr("attempt_id", f"explode(sequence(1L, {total}L)) AS position").join(
-        sampled, "position"
-    )
-    done = answered.select("attempt_id", "question_id")
-    return todo.join(done, ["attempt_id", "question_id"], "left_anti")
+    """Questions of the common sample that an attempt has no accepted answer to, in sample order."""
+    done = answered.select("attempt_id", "question_id").join(sampled, "question_id").select("attempt_id", "position")
+    sizes = attempts.select("attempt_id", F.lit(total).cast("long").alias("total"))
+    return open_positions(sizes, done).join(sampled, "position").select("attempt_id", "question_id", "position")
 
 
 # --- Q3, Q4, Q5, A7, L5, L6 ----------------------------------------------

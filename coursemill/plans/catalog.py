@@ -606,6 +606,25 @@ def progress_state(spark, sf):
     return quiz.latest_progress(quiz.cleared(saved, restarted))
 
 
+def _quizzes(spark, sf):
+    """Every attempt's quiz and the numbered questions, both written once."""
+    questions, requests = table(spark, sf, "question_bank"), table(spark, sf, "selections")
+    catalog = stage(bank.path_catalog(questions), "path-catalog")
+    quizzes = quiz.attempt_quizzes(requests, quiz.path_selection(requests, catalog), catalog, SEED)
+    return stage(quizzes, "quizzes"), stage(quiz.numbered_questions(questions, catalog), "numbered")
+
+
+@register("quiz_questions")
+def quiz_questions(spark, sf):
+    """Each attempt's own paths, own number of questions and own order."""
+    return quiz.quiz_questions(*_quizzes(spark, sf))
+
+
+@register("quiz_remainder")
+def quiz_remainder(spark, sf):
+    return quiz.quiz_remainder(*_quizzes(spark, sf), quiz.accepted_answers(table(spark, sf, "answer_events")))
+
+
 @register("resume_questions")
 def resume_questions(spark, sf):
     sampled = quiz.sample(table(spark, sf, "question_bank"), SEED, SAMPLE)

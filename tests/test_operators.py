@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from coursemill.operators import bank, hierarchy, ordinals, publish, quiz, resume
+from coursemill.operators import bank, hierarchy, ordinals, permutation, publish, quiz, resume
 from coursemill.operators.components import components
 from coursemill.operators.hierarchy import Limits
 from coursemill.plans.fixtures import BASE, table
@@ -481,3 +481,76 @@ def test_percentages_round_half_to_even(spark):
     results = spark.createDataFrame([(1, 1, 8, 12.5)], "attempt_id INT, score INT, total INT, percentage DOUBLE")
     row = quiz.rounded(results).first()
     assert (row.percentage_1, row.percentage_0) == (12.5, 12.0)
+
+
+# --- quizzes of their own ------------------------------------------------
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 7, 64, 65, 1000, 4099])
+def test_permutation_and_its_inverse(spark, n):
+    keyed = spark.range(n).selectExpr("id", f"{n}L AS n", f"{permutation.keys('concat(7, n)')} AS k", f"{permutation.keys('concat(8, n)')} AS other")
+    there = keyed.selectExpr("*", f"{permutation.permuted('id', 'n', 'k')} AS p", f"{permutation.permuted('id', 'n', 'other')} AS o")
+    rows = there.selectExpr("id", "p", "o", f"{permutation.permuted('p', 'n', 'k', inverse=True)} AS back").collect()
+    assert sorted(r.p for r in rows) == list(range(n)) == sorted(r.o for r in rows)
+    assert all(r.back == r.id for r in rows)
+    if n > 50:
+        assert sum(r.p == r.id for r in rows) < 8 and [r.p for r in rows] != [r.o for r in rows]
+
+
+def test_permutations_are_spread(spark):
+    """Over many keys every place goes about equally often to every other."""
+    drawn = spark.range(30_000).selectExpr("9L AS n", f"{permutation.keys('id')} AS k").selectExpr(
+        f"{permutation.permuted('0L', 'n', 'k')} AS first", f"{permutation.permuted('8L', 'n', 'k')} AS last")
+    for column in ("first", "last"):
+        counts = [r["count"] for r in drawn.groupBy(column).count().collect()]
+        assert len(counts) == 9 and max(abs(c - 30_000 / 9) for c in counts) < 350
+
+
+def own_quizzes(spark):
+    questions = spark.createDataFrame(
+        [(i, None if i % 10 == 9 else f"p{i % 4}") for i in range(100, 400)], "question_id BIGINT, learning_path STRING")
+    requests = spark.createDataFrame(
+        [(1, "1,3", "20"), (2, "", ""), (3, "2", "1000"), (4, "77", ""), (5, "3,2,3", ""), (6, "x", "130"), (7, "4", "1"), (8, "1,3", "20")],
+        "attempt_id BIGINT, selection STRING, requested STRING")
+    catalog = bank.path_catalog(questions)
+    quizzes = quiz.attempt_quizzes(requests, quiz.path_selection(requests, catalog), catalog, 42)
+    return questions, quizzes, quiz.numbered_questions(questions, catalog)
+
+
+def test_every_attempt_has_a_quiz_of_its_own(spark):
+    questions, quizzes, numbered = own_quizzes(spark)
+    rows = [tuple(r) for r in quiz.quiz_questions(quizzes, numbered).collect()]
+    path_of = {r.question_id: r.learning_path for r in questions.collect()}
+    names = sorted(set(path_of.values()), key=lambda p: (p is not None, p or ""))
+    chosen = {1: {0, 2}, 2: set(range(5)), 5: {1, 2}, 6: set(range(5)), 7: {3}, 8: {0, 2}}
+    by = {i: sorted(r[1:] for r in rows if r[0] == i) if i in chosen else [r[1:] for r in rows if r[0] == i] for i in range(1, 9)}
+    assert by[3] == by[4] == [(None, None)]  # too many asked for, and no such path
+    for i, paths in chosen.items():
+        allowed = {q for q, p in path_of.items() if p in {names[k] for k in paths}}
+        n = {1: 20, 6: 130, 7: 1, 8: 20}.get(i, len(allowed))
+        assert [p for p, _ in by[i]] == list(range(1, n + 1)) and len({q for _, q in by[i]}) == n
+        assert {q for _, q in by[i]} <= allowed
+    assert by[1] != by[8] and [q for _, q in by[2]] != sorted(q for _, q in by[2])
+    again = quiz.quiz_questions(quizzes.repartition(7, "total"), numbered.repartition(5))
+    assert sorted(map(str, (tuple(r) for r in again.collect()))) == sorted(map(str, rows))
+
+
+def test_remainder_of_own_quizzes(spark):
+    questions, quizzes, numbered = own_quizzes(spark)
+    listed = {(r.attempt_id, r.question_id): r.position for r in quiz.quiz_questions(quizzes, numbered).collect()}
+    draw = random.Random(2)
+    answers = [(i, q) for (i, q) in listed if q is not None and (i in (7, 8) or draw.random() < 0.5)]
+    strange = [(1, q) for q in range(100, 400) if (1, q) not in listed] + [(3, 100), (99, 100), (2, 5000)]
+    answered = spark.createDataFrame(answers + answers[:50] + strange, "attempt_id BIGINT, question_id BIGINT")
+    found = {(r.attempt_id, r.question_id): r.position for r in quiz.quiz_remainder(quizzes, numbered, answered).collect()}
+    assert found == {k: p for k, p in listed.items() if k[1] is not None and k not in set(answers)}
+    assert not {i for i, _ in found} & {7, 8}
+    everything = quiz.quiz_remainder(quizzes, numbered, answered.limit(0))
+    assert everything.count() == sum(q is not None for _, q in listed)
+
+
+def test_only_open_words_are_listed(spark):
+    sizes = spark.createDataFrame([(1, 200), (2, 64), (3, 65), (4, 130), (5, None)], "attempt_id BIGINT, total BIGINT")
+    done = [(1, p) for p in range(1, 201)] + [(2, p) for p in range(1, 65)] + [(3, p) for p in range(1, 65)] + [(4, 64), (4, 64), (4, 128)]
+    left = quiz.open_positions(sizes, spark.createDataFrame(done, "attempt_id BIGINT, position BIGINT"))
+    assert sorted(map(tuple, left.collect())) == [(3, 65)] + [(4, p) for p in range(1, 131) if p not in (64, 128)]
