@@ -155,11 +155,11 @@ def attribute(raw: str, name: str) -> str:
 
 _ENTRY = {
     "pos": "int", "tag": "string", "raw": "string", "t0": "int", "a0": "int", "kept": "boolean",
-    "figure": "int", "dropped": "int", "muted": "int", "inroot": "boolean",
+    "captions": "int", "figure": "int", "dropped": "int", "muted": "int", "inroot": "boolean",
 }
 _ELEMENT = {
     "pos": "int", "tag": "string", "raw": "string", "t0": "int", "t1": "int", "a0": "int", "a1": "int",
-    "stop": "int", "kept": "boolean",
+    "stop": "int", "kept": "boolean", "captions": "int",
 }
 _IMAGE = {"pos": "int", "raw": "string", "headings": "int", "paragraphs": "int", "figure": "int"}
 
@@ -168,14 +168,15 @@ def _array_of(fields: dict[str, str]) -> str:
     return "array<struct<" + ",".join(f"{f}:{t}" for f, t in fields.items()) + ">>"
 
 
-# n_text counts the texts that are kept, n_all also those in dropped subtrees
+# n_text counts the texts that are kept, n_all also those in dropped subtrees; left is the number of
+# elements open below the stack, captions that of the captions before an element
 _OUTPUT = {
     "texts": "array<string>", "all_texts": "array<string>",
     "elements": _array_of(_ELEMENT), "images": _array_of(_IMAGE),
 }
 _STATE = {
-    "stack": _array_of(_ENTRY), "dropped": "int", "muted": "int", "inroot": "boolean", "n_text": "int",
-    "n_all": "int", "headings": "int", "paragraphs": "int", "figures": "int", **_OUTPUT,
+    "stack": _array_of(_ENTRY), "left": "int", "dropped": "int", "muted": "int", "inroot": "boolean", "n_text": "int",
+    "n_all": "int", "headings": "int", "paragraphs": "int", "figures": "int", "captions": "int", **_OUTPUT,
 }
 
 
@@ -192,7 +193,7 @@ def _empty(array_type: str) -> str:
 
 
 def _element(entry: str, stop: str, state: str) -> str:
-    same = {f: f"{entry}.{f}" for f in ("pos", "tag", "raw", "t0", "a0", "kept")}
+    same = {f: f"{entry}.{f}" for f in ("pos", "tag", "raw", "t0", "a0", "kept", "captions")}
     ends = {"t1": f"{state}.n_text", "a1": f"{state}.n_all", "stop": stop}
     return _struct({f: (same | ends)[f] for f in _ELEMENT})
 
@@ -203,8 +204,12 @@ def _close_entries(entries: str, stop: str, state: str) -> str:
     return f"transform({tracked}, {e} -> {_element(e, stop, state)})"
 
 
-def _step(s: str, i: str, root: str) -> str:
-    """SQL for one token ``i`` of the fold over state ``s``."""
+def _step(s: str, i: str, root: str, below: str, names: str) -> str:
+    """SQL for one token ``i`` of the fold over state ``s``.
+
+    ``below`` are the elements open beneath the stack, of which the first
+    ``left`` still are, and ``names`` their different tags.
+    """
     visible = f"{s}.dropped = 0"
 
     def bumped(counter: str, tags: list[str]) -> str:
@@ -214,12 +219,13 @@ def _step(s: str, i: str, root: str) -> str:
         "headings": bumped("headings", HEADING_TAGS),
         "paragraphs": bumped("paragraphs", ["p"]),
         "figures": bumped("figures", ["figure"]),
+        "captions": bumped("captions", ["figcaption"]),
     }
-    enclosing_figure = f"coalesce(get({s}.stack, size({s}.stack) - 1).figure, 0)"
+    enclosing_figure = f"coalesce(get({s}.stack, size({s}.stack) - 1).figure, get({below}, {s}.left - 1).figure, 0)"
     inroot = f"({s}.inroot OR {i}.pos = {root})"
     here = {
         "pos": f"{i}.pos", "tag": f"{i}.tag", "raw": f"{i}.raw",
-        "t0": f"{s}.n_text", "a0": f"{s}.n_all", "kept": visible,
+        "t0": f"{s}.n_text", "a0": f"{s}.n_all", "kept": visible, "captions": f"{s}.captions",
     }
     entry = _struct({
         **here,
@@ -250,19 +256,32 @@ def _step(s: str, i: str, root: str) -> str:
     empty = _with(s, elements=f"concat({s}.elements, array({bare}))", **counters)
 
     # a close tag pops the nearest open element of its name and all above it
-    def pop(depth: str) -> str:
-        bottom = f"get({s}.stack, size({s}.stack) - {depth})"
-        popped = _close_entries(f"slice({s}.stack, -{depth}, {depth})", f"{i}.pos", s)
-        return f"IF({depth} > 0, " + _with(
+    def pop(bottom: str, popped: str, **rest: str) -> str:
+        return _with(
             s,
-            stack=f"slice({s}.stack, 1, size({s}.stack) - {depth})",
             dropped=f"{bottom}.dropped",
             muted=f"{bottom}.muted",
             inroot=f"{bottom}.inroot",
-            elements=f"concat({s}.elements, {popped})",
-        ) + f", {s})"
-
-    closed = let(f"CAST(array_position(reverse({s}.stack.tag), {i}.tag) AS INT)", pop)
+            elements=f"concat({s}.elements, {_close_entries(popped, f'{i}.pos', s)})",
+            **rest,
+        )
+
+    def from_stack(depth: str) -> str:
+        here = pop(f"get({s}.stack, size({s}.stack) - {depth})", f"slice({s}.stack, -{depth}, {depth})",
+                   stack=f"slice({s}.stack, 1, size({s}.stack) - {depth})")
+        return f"IF({depth} > 0, {here}, IF(array_contains({names}, {i}.tag), {deeper}, {s}))"
+
+    def from_below(depth: str) -> str:
+        there = pop(f"get({below}, {s}.left - {depth})",
+                    f"concat(slice({below}, {s}.left - {depth} + 1, {depth}), {s}.stack)",
+                    stack=_empty(_STATE["stack"]), left=f"{s}.left - {depth}")
+        return f"IF({depth} > 0, {there}, {s})"
+
+    def depth_in(tags: str) -> str:
+        return f"CAST(array_position(reverse({tags}), {i}.tag) AS INT)"
+
+    deeper = let(depth_in(f"slice({below}.tag, 1, {s}.left)"), from_below)
+    closed = let(depth_in(f"{s}.stack.tag"), from_stack)
     return f"""CASE
         WHEN {i}.kind = 'text' THEN IF({s}.muted = 0, {text}, {s})
         WHEN {i}.kind = 'open' THEN {opened}
@@ -310,7 +329,7 @@ def _view(done: str, root: str, n: str, clean: bool) -> str:
         "n": n,
         "texts": f"{done}.texts" if clean else f"{done}.all_texts",
         "elements": f"""transform({spans}, {e} -> named_struct('pos', {e}.pos, 'tag', {e}.tag, 'raw', {e}.raw,
-            't0', {e}.{first}, 't1', {e}.{last}, 'stop', {e}.stop))""",
+            't0', {e}.{first}, 't1', {e}.{last}, 'stop', {e}.stop, 'captions', {e}.captions))""",
         "images": f"{done}.images",
     })
 
@@ -318,25 +337,39 @@ def _view(done: str, root: str, n: str, clean: bool) -> str:
 def _fold(items: str, root: str, n: str, finish: Callable[[str], str]) -> str:
     """Fold the token list and shape the outcome with ``finish``.
 
-    The list is folded in chunks so that growing output arrays are copied once
-    per chunk and not once per token.
+    Every step copies its state, so that is kept small. The list is folded in
+    chunks: a chunk starts with empty outputs and the last few open elements,
+    which is as many as its tokens can close one by one; the others stay outside
+    and are only read, for a close tag that none of the last ones answers. Chunks
+    grow with the root of the page, which keeps both folds alike.
     """
+    return let(f"CAST(greatest({_CHUNK}, ceil(sqrt(size({items})))) AS INT)", lambda width: _fold_by(items, root, n, width, finish))
+
+
+def _fold_by(items: str, root: str, n: str, width: str, finish: Callable[[str], str]) -> str:
     acc, k, s, i, f = fresh("acc"), fresh("k"), fresh("s"), fresh("i"), fresh("f")
     start = {field: {"array": _empty(t), "int": "0"}.get(t.split("<")[0], f"{root} = -1")
              for field, t in _STATE.items()}
-    outer = _struct({"state": _struct(start), **{o: _empty(f"array<{t}>") for o, t in _OUTPUT.items()}})
-    emptied = _with(f"{acc}.state", **{o: _empty(t) for o, t in _OUTPUT.items()})
-    chunk = f"slice({items}, {k} * {_CHUNK} + 1, {_CHUNK})"
-    folded = f"aggregate({chunk}, {emptied}, ({s}, {i}) -> {_step(s, i, root)})"
+    outer = _struct({"state": _struct(start), "deep": _empty(_STATE["stack"]), **{o: _empty(f"array<{t}>") for o, t in _OUTPUT.items()}})
+    chunk = f"slice({items}, {k} * {width} + 1, {width})"
+    opened = f"concat({acc}.deep, {acc}.state.stack)"
+
+    def fold(below: str) -> str:
+        begin = _with(f"{acc}.state", stack=f"slice({opened}, size({below}) + 1, {width})", left=f"size({below})",
+                      **{o: _empty(t) for o, t in _OUTPUT.items()})
+        return let(f"array_distinct({below}.tag)", lambda names: (
+            f"aggregate({chunk}, {begin}, ({s}, {i}) -> {_step(s, i, root, below, names)})"))
+
+    folded = let(f"slice({opened}, 1, greatest(size({opened}) - {width}, 0))", fold)
     merged = let(folded, lambda done: _struct({
-        "state": done, **{o: f"concat({acc}.{o}, array({done}.{o}))" for o in _OUTPUT},
+        "state": done, "deep": f"slice({opened}, 1, {done}.left)", **{o: f"concat({acc}.{o}, array({done}.{o}))" for o in _OUTPUT},
     }))
-    left_open = _close_entries(f"{f}.state.stack", n, f"{f}.state")
+    left_open = _close_entries(f"concat({f}.deep, {f}.state.stack)", n, f"{f}.state")
     flat = _struct({
         **{o: f"flatten({f}.{o})" for o in ("texts", "all_texts", "images")},
         "elements": f"sort_array(concat(flatten({f}.elements), {left_open}))",
     })
-    chunks = f"sequence(0, CAST(floor((greatest(size({items}), 1) - 1) / {_CHUNK}) AS INT))"
+    chunks = f"sequence(0, CAST(floor((greatest(size({items}), 1) - 1) / {width}) AS INT))"
     return f"aggregate({chunks}, {outer}, ({acc}, {k}) -> {merged}, {f} -> {let(flat, finish)})"
 
 

@@ -17,7 +17,7 @@ def _root(doc: str) -> str:
     e = fresh("e")
     found = f"get(filter({doc}.elements, {e} -> {e}.pos = {doc}.root), 0)"
     whole = f"""named_struct('pos', -1, 'tag', '', 'raw', '', 't0', 0,
-        't1', size({doc}.texts), 'stop', {doc}.n)"""
+        't1', size({doc}.texts), 'stop', {doc}.n, 'captions', 0)"""
     return f"coalesce({found}, {whole})"
 
 
@@ -56,10 +56,10 @@ def links(doc: str, root: str) -> str:
 def images(doc: str, root: str, url: str, site: str) -> str:
     """Images of the root with resolved URL, class and surroundings.
 
-    The fold counted headings, paragraphs and figures up to each image, so the
-    neighbours are direct index lookups. Their scope is the whole document.
+    The fold counted headings, paragraphs and figures up to each image, and
+    captions up to each figure, so the neighbours are direct index lookups. Their scope is the whole document.
     """
-    i, src, img, p = fresh("i"), fresh("src"), fresh("img"), fresh("p")
+    i, src, img = fresh("i"), fresh("src"), fresh("img")
     inside = f"filter({doc}.images, {i} -> {_inside(root, i)})"
     with_src = f"""filter(transform({inside}, {src} -> named_struct(
         'at', {src}, 'src', {markup.attribute(f'{src}.raw', 'src')})), {src} -> {src}.src <> '')"""
@@ -70,7 +70,8 @@ def images(doc: str, root: str, url: str, site: str) -> str:
 
     def rows(heads: str, paras: str, figures: str, captions: str) -> str:
         def caption(figure: str) -> str:
-            return f"get(filter({captions}, {p} -> {p}.pos > {figure}.pos AND {p}.pos < {figure}.stop), 0)"
+            first = f"get({captions}, {figure}.captions)"
+            return let(first, lambda c: f"IF({c}.pos < {figure}.stop, {c}, NULL)")
 
         context = f"""named_struct(
             'preceding_heading', {text_or_empty(f'get({heads}, {img}.at.headings - 1)')},

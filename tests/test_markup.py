@@ -1,7 +1,9 @@
 """The parser expressions against an independent stack reader."""
 
 import random
+import time
 
+import pytest
 import reader
 
 from coursemill.functions import markup
@@ -145,3 +147,39 @@ def test_failed_page_differs_from_empty_page(spark):
     assert (rows[0].content, rows[1].content) == ("", None)
     titles = structure.page_titles(pages(spark, ["<p>x</p>", None])).orderBy("page_id").collect()
     assert [t.title for t in titles] == ["", None]
+
+
+@pytest.mark.parametrize("width", [1, 2, 5])
+def test_few_tokens_at_once_give_the_same_spans(spark, monkeypatch, width):
+    """Elements left open over many chunks, closed across them, and stray closes."""
+    rng = random.Random(width)
+    soup = [tag_soup(rng) for _ in range(60)]
+    tags = ["b", "i", "p", "div", "figure", "figcaption", "nav", "main"]
+    soup += ["".join(rng.choice([f"<{rng.choice(tags)}>", f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", "x ", '<img src="a">'])
+                     for _ in range(rng.randrange(20, 120))) for _ in range(60)]
+    wide = [r.asDict(True) for r in content.unit_content(pages(spark, soup)).orderBy("page_id").collect()]
+    monkeypatch.setattr(markup, "_CHUNK", width)
+    ours = our_elements(pages(spark, soup))
+    for i, doc in enumerate(soup):
+        assert ours.get(i, []) == reader.elements(doc), doc
+    assert [r.asDict(True) for r in content.unit_content(pages(spark, soup)).orderBy("page_id").collect()] == wide
+
+
+def test_captions_are_looked_up(spark):
+    one = '<figure><img src="a.png"><figcaption>C{}</figcaption></figure>'
+    docs = ["<main>" + "".join(one.format(i) for i in range(300)) + "</main>",
+            '<main><figure><img src="a"><figure><img src="b"></figure><figcaption>late</figcaption></figure>'
+            '<figure><img src="c"></figure><figcaption>outside</figcaption><img src="d"></main>']
+    rows = content.items(pages(spark, docs), "images", ["c.context.figure_caption AS caption"]).orderBy("page_id", "ord").collect()
+    assert [r.caption for r in rows] == [f"C{i}" for i in range(300)] + ["late", "", "", ""]
+
+
+def test_time_grows_alike_with_open_and_closed_tags(spark):
+    def seconds(doc):
+        df = pages(spark, [doc])
+        start = time.perf_counter()
+        our_elements(df)
+        return time.perf_counter() - start
+
+    seconds("<b>x</b>")
+    assert seconds("<b>x" * 8000) < 2 * seconds("<b>x</b>" * 8000) + 2
