@@ -201,7 +201,7 @@ def _cleaned(answers: DataFrame) -> DataFrame:
 def clean_answers(answers: DataFrame) -> DataFrame:
     """Normalised letter, accepted flag, and position among accepted answers."""
     numbered = ordinals.running_sums(
-        _cleaned(answers), ["attempt_id"], ["ts", "event_id"], ordinals.time_bucket("ts"),
+        _cleaned(answers), ["attempt_id"], ["ts", "event_id"], None,
         {"running": F.col("accepted").cast("int")},
     )
     return numbered.withColumn("position", F.expr("IF(accepted, running, NULL)")).drop("running")
@@ -224,7 +224,7 @@ def score_answers(answers: DataFrame, questions: DataFrame) -> DataFrame:
     Both running columns come from the same pass.
     """
     return ordinals.running_sums(
-        graded_answers(answers, questions), ["attempt_id"], ["ts", "event_id"], ordinals.time_bucket("ts"),
+        graded_answers(answers, questions), ["attempt_id"], ["ts", "event_id"], None,
         {"position": F.lit(1), "score": F.col("correct").cast("int")},
     )
 

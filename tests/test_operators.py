@@ -45,6 +45,38 @@ def test_no_task_gets_the_whole_hot_group(spark):
     assert biggest <= ordinals.WIDTH
 
 
+def test_sampled_splitters_cut_a_group_with_one_day_stamp(spark, monkeypatch):
+    monkeypatch.setattr(ordinals, "WIDTH", 500)
+    df = spark.range(0, 30_000).selectExpr(
+        "IF(id % 3 = 0, NULL, IF(id % 3 = 1, 1, 10 + id % 50)) AS attempt_id", "id * 7919 % 1000003 AS event_id",
+        "IF(id % 3 = 1 OR id % 2 = 0, TIMESTAMP '2024-01-01', IF(id % 11 = 0, NULL, timestamp_seconds(id % 90))) AS ts",
+        "id % 7 AS v", "'mine' AS extra",
+    )
+    order = ["ts", "event_id"]
+    cut = ordinals.split_by_order(df, ["attempt_id"], order, "part").cache()
+    sizes = {r["attempt_id"]: r for r in cut.groupBy("attempt_id", "part").count().groupBy("attempt_id").agg(
+        F.count("*").alias("parts"), F.max("count").alias("most")).collect()}
+    assert sizes[1].parts == sizes[None].parts == 20 and max(r.most for r in sizes.values()) < 1500
+    assert all(r.parts == 1 for a, r in sizes.items() if a not in (1, None))
+    back = Window.partitionBy("attempt_id").orderBy(*order)
+    assert cut.withColumn("before", F.lag("part").over(back)).where("before > part").isEmpty()
+    ours = ordinals.running_sums(df, ["attempt_id"], order, None, {"s": F.col("v"), "n": F.lit(1)})
+    window = back.rowsBetween(Window.unboundedPreceding, 0)
+    plain = df.withColumns({"s": F.sum("v").over(window), "n": F.count("*").over(window)})
+    assert ours.columns == plain.columns
+    assert ours.exceptAll(plain).isEmpty() and plain.exceptAll(ours).isEmpty()
+
+
+def test_splitters_of_a_huge_group_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(ordinals, "WIDTH", 10)
+    monkeypatch.setattr(ordinals, "SPLITTERS", 16)
+    df = spark.range(0, 20_000).selectExpr("1 AS g", "id")
+    cut = ordinals.split_by_order(df, ["g"], ["id"], "part").groupBy("part").count().collect()
+    assert len(cut) == 16 and max(r["count"] for r in cut) < 3000
+    empty = ordinals.running_sums(df.limit(0), ["g"], ["id"], None, {"n": F.lit(1)})
+    assert empty.columns == ["g", "id", "n"] and empty.isEmpty()
+
+
 # --- components ----------------------------------------------------------
 
 
