@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from coursemill.functions import rules
 from coursemill.functions.columns import fresh, let, quote, quoted, strip
 from coursemill.operators import ordinals
+from coursemill.operators.components import components
 from coursemill.sources.staging import stage
 
 # Fields every question has; notes may be empty, the others not.
@@ -229,7 +230,12 @@ _BLOCK = 4096
 
 
 def shingle_sets(questions: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """``(question_id, shingles ARRAY<BIGINT> sorted distinct, n)`` of whole texts."""
+    """``(question_id, shingles ARRAY<BIGINT> sorted distinct, n, set_key)`` of whole texts.
+
+    Equal sets have equal keys: two hashes with different seeds and the size.
+    Without words the text itself is hashed, so only equal texts are equal. A
+    null question has no set.
+    """
     words = f"regexp_extract_all(lower(question), {quote('[' + chr(92) + 'p{L}' + chr(92) + 'p{N}_]+')}, 0)"
 
     def shingles(w: str) -> str:
@@ -238,8 +244,10 @@ def shingle_sets(questions: DataFrame, size: int = SHINGLE) -> DataFrame:
         hashed = f"transform(sequence(0, greatest(size({w}) - {size}, 0)), {i} -> xxhash64({gram}))"
         return f"IF(size({w}) = 0, CAST(array() AS array<bigint>), sort_array(array_distinct({hashed})))"
 
-    return questions.selectExpr("question_id", f"{let(words, shingles)} AS shingles").selectExpr(
-        "question_id", "shingles", "CAST(size(shingles) AS BIGINT) AS n"
+    return questions.selectExpr("question_id", "question", f"IF(question IS NULL, NULL, {let(words, shingles)}) AS shingles").selectExpr(
+        "question_id", "shingles", "CAST(size(shingles) AS BIGINT) AS n",
+        "IF(size(shingles) = 0, struct(0L AS n, xxhash64(question) AS h1, xxhash64(0L, question) AS h2), "
+        "struct(CAST(size(shingles) AS BIGINT) AS n, xxhash64(shingles) AS h1, xxhash64(CAST(size(shingles) AS BIGINT), shingles) AS h2)) AS set_key",
     )
 
 
@@ -248,29 +256,49 @@ def near_duplicates(questions: DataFrame, threshold: float = 0.8, size: int = SH
 
     Questions with equal shingle sets are represented by their smallest id, and
     each copy is reported once, against that representative; pairs are formed
-    among representatives only. Two sets with Jaccard >= t must share a shingle
-    within their first ``n - ceil(t*n) + 1`` shingles in any common order; with
-    the rarest first, few rows meet. A shingle shared by many is split into a
-    grid of blocks, so no task receives a whole hot group, and every pair is
-    still compared.
+    among representatives only. Questions without words are copies where their
+    texts are equal and similar to nothing else; null questions are no one's copy.
     """
-    # two hashes with different seeds and the size identify a set
-    keyed = shingle_sets(questions, size).withColumn(
-        "set_key", F.expr("struct(n, xxhash64(shingles) AS h1, xxhash64(n, shingles) AS h2)")
-    )
-    sets = stage(keyed, "shingle-sets").where("n > 0")
-    owners = sets.groupBy("set_key").agg(F.min("question_id").alias("owner_id"))
-    copies = (
-        sets.select("question_id", "set_key")
-        .join(owners, "set_key")
-        .where("question_id <> owner_id")
-        .selectExpr("owner_id AS question_id", "question_id AS similar_id", "1.0D AS jaccard")
-    )
+    members, unique = _set_classes(questions, size)
+    copies = members.where("question_id <> owner_id").selectExpr("owner_id AS question_id", "question_id AS similar_id", "1.0D AS jaccard")
+    return _similar_sets(unique, threshold).unionByName(copies)
+
+
+def near_duplicate_groups(questions: DataFrame, threshold: float = 0.8, size: int = SHINGLE) -> DataFrame:
+    """``(question_id, owner_id, group_id)``: every question with its copies' smallest id and its group's.
+
+    A group is what similar pairs connect, directly or through others. Together
+    with the pairs of ``near_duplicates`` between owners this gives every similar
+    pair, also among copies, without listing those. A null question is a group of
+    its own, and so is each row with a null id.
+    """
+    members, unique = _set_classes(questions, size)
+    roots = components(_similar_sets(unique, threshold).selectExpr("question_id AS a", "similar_id AS b"))
+    return members.join(roots, F.col("owner_id") == F.col("node"), "left").selectExpr(
+        "question_id", "owner_id", "coalesce(root, owner_id) AS group_id")
+
+
+def _set_classes(questions: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """``(question_id, owner_id)`` of all questions, and ``(question_id, shingles, n)`` of the owners with words."""
+    sets = stage(shingle_sets(questions, size), "shingle-sets")
+    owners = sets.where("shingles IS NOT NULL").groupBy("set_key").agg(F.min("question_id").alias("owner_id"))
+    owned = sets.where("shingles IS NOT NULL").select("question_id", "set_key").join(owners, "set_key").select("question_id", "owner_id")
+    members = owned.unionByName(sets.where("shingles IS NULL").selectExpr("question_id", "question_id AS owner_id"))
+    # an id that repeats with equal texts is one owner
     unique = stage(
-        sets.drop("set_key").join(owners.selectExpr("owner_id AS question_id"), "question_id", "left_semi"),
-        "unique-sets",
-    )
+        sets.where("n > 0").join(owners, "set_key").where("question_id = owner_id")
+        .select("question_id", "shingles", "n").dropDuplicates(["question_id", "n"]), "unique-sets")
+    return members, unique
+
 
+def _similar_sets(unique: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of different sets with Jaccard >= t.
+
+    They must share a shingle within their first ``n - ceil(t*n) + 1`` shingles in
+    any common order; with the rarest first, few rows meet. A shingle shared by
+    many is split into a grid of blocks, so no task receives a whole hot group,
+    and every pair is still compared.
+    """
     tokens = unique.selectExpr("question_id", "n", "explode(shingles) AS shingle")
     # shingles of a single question can never meet
     shared = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
@@ -306,11 +334,10 @@ def near_duplicates(questions: DataFrame, threshold: float = 0.8, size: int = SH
         .distinct()
     )
     arrays = unique.select("question_id", "shingles", "n")
-    compared = (
+    return (
         candidates.join(arrays.selectExpr("question_id AS a", "shingles AS s_a", "n AS n_a").hint("merge"), "a")
         .join(arrays.selectExpr("question_id AS b", "shingles AS s_b", "n AS n_b").hint("merge"), "b")
         .selectExpr("a", "b", "n_a", "n_b", "size(array_intersect(s_a, s_b)) AS common")
         .selectExpr("a AS question_id", "b AS similar_id", "common / (n_a + n_b - common) AS jaccard")
         .where(f"jaccard >= {threshold}D")
     )
-    return compared.unionByName(copies)

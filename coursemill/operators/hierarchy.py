@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from coursemill.functions import markup, urls
 from coursemill.functions.columns import let
 from coursemill.operators import content, resume, structure
+from coursemill.operators.sieve import sieve
 from coursemill.sources.staging import Scratch, stage
 
 #: Bits of a frontier's filter: as a broadcast table it takes at most an eighth of that in bytes, whatever the frontier.
@@ -53,16 +54,7 @@ def frontier_pages(pages: DataFrame, frontier: DataFrame) -> DataFrame:
     No wanted page is lost. Others pass with the share of set bits, so a frontier
     much larger than ``FILTER_BITS`` only saves less; the join on URL that follows decides.
     """
-    place = f"pmod(xxhash64(url), {FILTER_BITS}L) + 1"
-    bits = frontier.selectExpr(f"{place} AS place").groupBy(F.expr("bitmap_bucket_number(place)").alias("bucket")).agg(
-        F.expr("bitmap_construct_agg(bitmap_bit_position(place))").alias("bits"))
-    bit = f"bitmap_bit_position({place})"
-    byte = f"CAST(conv(hex(substr(bits, CAST({bit} DIV 8 AS INT) + 1, 1)), 16, 10) AS INT)"
-    return (
-        pages.select("url", "html").join(F.broadcast(bits), F.expr(f"bitmap_bucket_number({place})") == F.col("bucket"))
-        .where(f"getbit({byte}, CAST({bit} % 8 AS INT)) = 1")
-        .select("url", "html")
-    )
+    return sieve(pages.select("url", "html"), frontier, "url", FILTER_BITS)
 
 
 def _facts(pages: DataFrame, parsed: str | None, *more: str) -> DataFrame:

@@ -481,6 +481,11 @@ def q_near_dup(spark, sf):
     return bank.near_duplicates(table(spark, sf, "question_bank"))
 
 
+@register("q_near_groups")
+def q_near_groups(spark, sf):
+    return bank.near_duplicate_groups(table(spark, sf, "question_bank"))
+
+
 @register("path_catalog")
 def path_catalog(spark, sf):
     return bank.path_catalog(table(spark, sf, "question_bank"))
@@ -668,11 +673,11 @@ def weak_modules(spark, sf):
 
 @register("stream_ingest")
 def stream_ingest(spark, sf):
-    """Pages arrive as files; offered a second time they add nothing."""
+    """Pages arrive as files; offered a second time, or changed, they add nothing."""
     source, out, checkpoint = (new_path(spark, n) for n in ("arriving", "published", "ingest-checkpoint"))
     pages = table(spark, sf, "pages")
-    for _ in range(2):
-        pages.write.mode("append").parquet(source)
+    for arriving in (pages, pages, pages.withColumn("html", F.expr("concat(html, '<p>later</p>')"))):
+        arriving.write.mode("append").parquet(source)
         units = ingest.new_units(ingest.read_page_stream(spark, source), BASE)
         ingest.start_ingest(units, out, checkpoint).awaitTermination()
     return spark.read.parquet(out).selectExpr("page_id", "url", "md5(content) AS content_md5")
@@ -680,9 +685,11 @@ def stream_ingest(spark, sf):
 
 @register("stream_score")
 def stream_score(spark, sf):
-    source, out = new_path(spark, "answers"), new_path(spark, "scores")
-    table(spark, sf, "answer_events").write.parquet(source)
-    stream = scores.read_answer_stream(spark, source, files_per_batch=2)
-    live = scores.live_scores(stream, table(spark, sf, "question_bank"))
-    scores.start_scores(live, out, new_path(spark, "score-checkpoint")).awaitTermination()
+    """Answers arrive as files; offered a second time they change nothing."""
+    source, out, checkpoint = (new_path(spark, n) for n in ("answers", "scores", "score-checkpoint"))
+    for _ in range(2):
+        table(spark, sf, "answer_events").write.mode("append").parquet(source)
+        stream = scores.read_answer_stream(spark, source)
+        live = scores.live_scores(stream, table(spark, sf, "question_bank"))
+        scores.start_scores(live, out, checkpoint).awaitTermination()
     return scores.latest_scores(spark, out)

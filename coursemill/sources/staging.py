@@ -85,3 +85,42 @@ class Scratch:
         for table in tables:
             _, path = self.paths.pop(id(table))
             remove(self.spark, path)
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Sorted names in a folder; none if there is no such folder."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = jvm_path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(jvm_path)) if files.exists(jvm_path) else []
+
+
+class Versions:
+    """A small table that is replaced as a whole: the newest complete version counts.
+
+    A version is a folder ``<number>.<tag>``, complete when the writer has marked
+    it. The tag names the piece of work that made it, so that the same work, done
+    again after a failure, starts from what it found the first time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
+
+    def _complete(self) -> list[str]:
+        return [n for n in names_in(self.spark, self.path) if "_SUCCESS" in names_in(self.spark, f"{self.path}/{n}")]
+
+    def read(self, before: str | None = None) -> DataFrame:
+        """The newest version that work ``before`` has not made; empty if there is none."""
+        found = [n for n in self._complete() if n.partition(".")[2] != before]
+        if not found:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/{found[-1]}")
+
+    def replace(self, table: DataFrame, tag: str) -> None:
+        """Write the next version; of the older ones only that which ``read(tag)`` gives stays."""
+        names = names_in(self.spark, self.path)
+        base = [n for n in self._complete() if n.partition(".")[2] != tag][-1:]
+        number = int(names[-1].partition(".")[0]) + 1 if names else 0
+        table.write.parquet(f"{self.path}/{number:012d}.{tag}")
+        for name in names:
+            if name not in base:
+                remove(self.spark, f"{self.path}/{name}")

@@ -458,6 +458,20 @@ def test_near_duplicates_equal_brute_force(spark, threshold, monkeypatch):
     assert got == brute_pairs(texts, threshold)
 
 
+def test_near_duplicate_groups(spark):
+    chain = [" ".join(f"w{k}" for k in range(i, i + 60)) for i in range(4)]  # neighbours share 57 of 59 shingles
+    far = " ".join(f"w{k}" for k in range(12, 72))  # similar to the last of the chain only through what lies between: to none
+    texts = {10: chain[3], 2: chain[0], 7: chain[1], 9: chain[2], 5: chain[0], 20: far, 21: far, 30: "", 31: "", 32: "...", 33: None, 34: None,
+             40: "one", 41: "ONE!"}
+    df = spark.createDataFrame(list(texts.items()), "question_id BIGINT, question STRING").withColumn("owner_id", F.lit("clash"))
+    got = {r.question_id: (r.owner_id, r.group_id) for r in bank.near_duplicate_groups(df, 0.9).collect()}
+    assert got == {2: (2, 2), 5: (2, 2), 7: (7, 2), 9: (9, 2), 10: (10, 2), 20: (20, 20), 21: (20, 20), 30: (30, 30), 31: (30, 30),
+                   32: (32, 32), 33: (33, 33), 34: (34, 34), 40: (40, 40), 41: (40, 40)}
+    pairs = {(r.question_id, r.similar_id) for r in bank.near_duplicates(df, 0.9).collect()}
+    assert {(2, 5), (20, 21), (30, 31), (40, 41)} <= pairs and all(got[a][1] == got[b][1] for a, b in pairs)
+    assert bank.near_duplicate_groups(df.limit(0)).isEmpty()
+
+
 def test_merge_keeps_the_first_of_equal_texts(spark):
     df = spark.createDataFrame(
         [(1, 5, "A  b"), (1, 9, "a B "), (2, 1, "a b"), (2, 2, "other")],
