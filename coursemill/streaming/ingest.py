@@ -63,8 +63,9 @@ def extracted(pages: DataFrame, wanted: DataFrame, site: str) -> DataFrame:
     # the id carries the digest through the parse
     parsed = content.unit_content(arrived.selectExpr("struct(page_id, digest) AS page_id", "url", "html"), site)
     ours = wanted.selectExpr("url", "struct(page_id, digest) AS page_id")
-    units = parsed.join(ours, (parsed.url == ours.url) & parsed.page_id.eqNullSafe(ours.page_id), "left_semi")
-    return units.withColumn("page_id", F.col("page_id.page_id")).dropDuplicates(["url"])
+    # one page of each URL is left, perhaps repeated; by both keys the rows lie where the join has put them
+    units = parsed.join(ours, ["url", "page_id"], "left_semi").dropDuplicates(["url", "page_id"])
+    return units.withColumn("page_id", F.col("page_id.page_id"))
 
 
 def start_ingest(units: NewUnits, out: str, checkpoint: str, ledger: str | None = None, expected: int = 10_000_000):
