@@ -281,13 +281,14 @@ def near_duplicate_groups(questions: DataFrame, threshold: float = 0.8, size: in
 def _set_classes(questions: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """``(question_id, owner_id)`` of all questions, and ``(question_id, shingles, n)`` of the owners with words."""
     sets = stage(shingle_sets(questions, size), "shingle-sets")
-    owners = sets.where("shingles IS NOT NULL").groupBy("set_key").agg(F.min("question_id").alias("owner_id"))
+    # written, so that its size is known before the arrays are shuffled for it
+    owners = stage(
+        sets.where("shingles IS NOT NULL").groupBy("set_key").agg(F.min("question_id").alias("owner_id")), "set-owners")
     owned = sets.where("shingles IS NOT NULL").select("question_id", "set_key").join(owners, "set_key").select("question_id", "owner_id")
     members = owned.unionByName(sets.where("shingles IS NULL").selectExpr("question_id", "question_id AS owner_id"))
-    # an id that repeats with equal texts is one owner
     unique = stage(
-        sets.where("n > 0").join(owners, "set_key").where("question_id = owner_id")
-        .select("question_id", "shingles", "n").dropDuplicates(["question_id", "n"]), "unique-sets")
+        sets.where("n > 0").drop("set_key").join(owners.where("set_key.n > 0").selectExpr("owner_id AS question_id"), "question_id", "left_semi"),
+        "unique-sets")
     return members, unique
 
 
