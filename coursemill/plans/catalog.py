@@ -14,6 +14,7 @@ from coursemill.operators.hierarchy import Limits
 from coursemill.plans.fixtures import BASE, table
 from coursemill.session import tune
 from coursemill.sources import files
+from coursemill.sources.progress import ProgressStore
 from coursemill.sources.staging import new_path, stage
 from coursemill.streaming import ingest, scores
 
@@ -605,10 +606,12 @@ def progress_load(spark, sf):
 
 @register("progress_state")
 def progress_state(spark, sf):
-    """State saved after every answer, without attempts that started over."""
+    """State saved after every answer, without attempts that started over: saved, deleted and loaded by key."""
     saved = stage(quiz.saved_states(_scored(spark, sf), _sizes(spark, sf), SEED), "progress")
-    restarted = saved.where("current_index = 1 AND NOT correct").select("attempt_id")
-    return quiz.latest_progress(quiz.cleared(saved, restarted))
+    store = ProgressStore(spark, new_path(spark, "progress-store"))
+    store.save(quiz.latest_progress(saved))
+    store.clear(saved.where("current_index = 1 AND NOT correct"))
+    return store.load()
 
 
 def _quizzes(spark, sf):

@@ -14,6 +14,7 @@ from coursemill.operators.components import components
 from coursemill.operators.hierarchy import Limits
 from coursemill.plans.fixtures import BASE, table
 from coursemill.sources import files, staging
+from coursemill.sources.progress import FIELDS, ProgressStore
 
 
 @pytest.fixture(scope="module")
@@ -130,6 +131,31 @@ def test_limits_keep_children_unexpanded(spark, sf_dir, rows):
     assert limited.where("path_status = 'not_selected' AND module_ord IS NOT NULL").count() == 0
 
 
+def test_progress_is_replaced_and_deleted_by_key(spark, tmp_path):
+    store = ProgressStore(spark, str(tmp_path / "progress"), buckets=4)
+    assert store.load().isEmpty()
+
+    def progress(index, *attempts):
+        return spark.createDataFrame([(a, 1, index, 0, 9, "t", "more") for a in attempts], f"{FIELDS}, bucket STRING")
+
+    def stored():
+        return {r.attempt_id: r.current_index for r in store.load().collect()}
+
+    store.save(progress(1, *range(20), None))
+    files = {f.name for f in (tmp_path / "progress").rglob("part-*.parquet")}
+    store.save(progress(2, 3, None))
+    assert stored() == {**{a: 1 for a in range(20)}, 3: 2, None: 2}
+    assert files & {f.name for f in (tmp_path / "progress").rglob("part-*.parquet")}  # other buckets were left alone
+    gone = spark.createDataFrame([(3,), (3,), (7,), (99,), (None,)], "attempt_id BIGINT")
+    store.clear(gone)
+    assert stored() == {a: 1 for a in range(20) if a not in (3, 7)}
+    store.save(progress(1, 3))
+    store.save(progress(1).limit(0))
+    assert stored() == {a: 1 for a in range(20) if a != 7}
+    store.clear(gone.limit(0))
+    assert ProgressStore(spark, str(tmp_path / "progress"), buckets=4).load().count() == 19
+
+
 @pytest.mark.parametrize("n", [0, None])
 def test_zero_and_unset_limits_mean_all(n):
     assert Limits.selects("ord", n) == "ord IS NOT NULL"
