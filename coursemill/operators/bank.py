@@ -6,6 +6,8 @@ correct_answer, explanation, learning_path, module, additional_notes``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -227,6 +229,8 @@ def merge_dedup(batches: DataFrame) -> DataFrame:
 
 SHINGLE = 3
 _BLOCK = 4096
+# fixed size of the table of shingle frequencies, whatever the bank
+_BUCKETS = 1 << 16
 
 
 def shingle_sets(questions: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -292,25 +296,39 @@ def _set_classes(questions: DataFrame, size: int) -> tuple[DataFrame, DataFrame]
     return members, unique
 
 
+def _rarity(unique: DataFrame) -> bytes:
+    """A byte for each of ``_BUCKETS`` hashed groups of shingles: how often they occur, eight steps a doubling."""
+    counts = unique.selectExpr(f"explode(transform(shingles, s -> pmod(s, {_BUCKETS}))) AS bucket").groupBy("bucket").count()
+    steps = bytearray(_BUCKETS)
+    for bucket, n in counts.collect():  # _BUCKETS rows at most
+        steps[bucket] = min(255, int(8 * math.log2(n + 1)))
+    return bytes(steps)
+
+
 def _similar_sets(unique: DataFrame, threshold: float) -> DataFrame:
     """Pairs of different sets with Jaccard >= t.
 
     They must share a shingle within their first ``n - ceil(t*n) + 1`` shingles in
-    any common order; with the rarest first, few rows meet. A shingle shared by
-    many is split into a grid of blocks, so no task receives a whole hot group,
-    and every pair is still compared.
+    any common order. The order here is by frequency of the shingle's bucket, so a
+    frequent shingle comes late, and each set finds its own prefix without leaving
+    its row: only prefixes are shuffled. A shingle shared by many is split into a
+    grid of blocks, so no task receives a whole hot group, and every pair is still
+    compared.
     """
-    tokens = unique.selectExpr("question_id", "n", "explode(shingles) AS shingle")
-    # shingles of a single question can never meet
-    shared = tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    rarest_first = Window.partitionBy("question_id").orderBy("df", "shingle")
-    # unshared shingles come first in the order, so they use up prefix places
+    steps = F.lit(_rarity(unique))
+    ordered = F.array_sort(F.transform("shingles", lambda s: F.struct(
+        F.substring(steps, F.pmod(s, F.lit(_BUCKETS)).cast("int") + 1, F.lit(1)).alias("step"), s.alias("shingle"))))
+    places = stage(
+        unique.select("question_id", "n", F.slice(ordered, F.lit(1), F.expr(
+            f"CAST(n - ceil({threshold}D * n - 1e-9D) + 1 AS INT)")).alias("first"))
+        .selectExpr("question_id", "n", "posexplode(first.shingle) AS (place, shingle)")
+        .withColumn("place", F.expr("place + 1")),
+        "places",
+    )
+    # shingles in the prefix of a single question can never meet
+    shared = places.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     prefix = stage(
-        tokens.join(shared, "shingle")
-        .withColumn("place", F.row_number().over(rarest_first))
-        .withColumn("unshared", F.col("n") - F.count("*").over(Window.partitionBy("question_id")))
-        .withColumn("place", F.col("place") + F.col("unshared"))
-        .where(f"place <= n - ceil({threshold}D * n - 1e-9D) + 1")
+        places.join(shared, "shingle")
         .withColumn("blocks", F.expr(f"CAST(ceil(df / {_BLOCK}) AS INT)"))
         .withColumn("block", F.expr("CAST(pmod(xxhash64(question_id), blocks) AS INT)")),
         "prefixes",
