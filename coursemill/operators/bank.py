@@ -15,7 +15,7 @@ from coursemill.functions import rules
 from coursemill.functions.columns import fresh, let, quote, quoted, strip
 from coursemill.operators import ordinals
 from coursemill.operators.components import components
-from coursemill.sources.staging import stage
+from coursemill.sources.staging import Scratch, stage
 
 # Fields every question has; notes may be empty, the others not.
 REQUIRED = ["question", "options", "correct_answer", "explanation", "learning_path", "module"]
@@ -263,9 +263,9 @@ def near_duplicates(questions: DataFrame, threshold: float = 0.8, size: int = SH
     among representatives only. Questions without words are copies where their
     texts are equal and similar to nothing else; null questions are no one's copy.
     """
-    members, unique = _set_classes(questions, size)
+    members, pairs = _classes_and_pairs(questions, threshold, size)
     copies = members.where("question_id <> owner_id").selectExpr("owner_id AS question_id", "question_id AS similar_id", "1.0D AS jaccard")
-    return _similar_sets(unique, threshold).unionByName(copies)
+    return pairs.unionByName(copies)
 
 
 def near_duplicate_groups(questions: DataFrame, threshold: float = 0.8, size: int = SHINGLE) -> DataFrame:
@@ -276,86 +276,89 @@ def near_duplicate_groups(questions: DataFrame, threshold: float = 0.8, size: in
     pair, also among copies, without listing those. A null question is a group of
     its own, and so is each row with a null id.
     """
-    members, unique = _set_classes(questions, size)
-    roots = components(_similar_sets(unique, threshold).selectExpr("question_id AS a", "similar_id AS b"))
+    members, pairs = _classes_and_pairs(questions, threshold, size)
+    roots = components(pairs.selectExpr("question_id AS a", "similar_id AS b"))
     return members.join(roots, F.col("owner_id") == F.col("node"), "left").selectExpr(
         "question_id", "owner_id", "coalesce(root, owner_id) AS group_id")
 
 
-def _set_classes(questions: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
-    """``(question_id, owner_id)`` of all questions, and ``(question_id, shingles, n)`` of the owners with words."""
-    sets = stage(shingle_sets(questions, size), "shingle-sets")
-    # written, so that its size is known before the arrays are shuffled for it
-    owners = stage(
-        sets.where("shingles IS NOT NULL").groupBy("set_key").agg(F.min("question_id").alias("owner_id")), "set-owners")
-    owned = sets.where("shingles IS NOT NULL").select("question_id", "set_key").join(owners, "set_key").select("question_id", "owner_id")
-    members = owned.unionByName(sets.where("shingles IS NULL").selectExpr("question_id", "question_id AS owner_id"))
-    unique = stage(
-        sets.where("n > 0").drop("set_key").join(owners.where("set_key.n > 0").selectExpr("owner_id AS question_id"), "question_id", "left_semi"),
-        "unique-sets")
-    return members, unique
-
-
-def _rarity(unique: DataFrame) -> bytes:
-    """A byte for each of ``_BUCKETS`` hashed groups of shingles: how often they occur, eight steps a doubling."""
+def _classes_and_pairs(questions: DataFrame, threshold: float, size: int) -> tuple[DataFrame, DataFrame]:
+    """``(question_id, owner_id)`` of all questions and the similar pairs of owners; the sets themselves are removed again."""
+    with Scratch(questions.sparkSession, "shingles") as work:
+        sets = work.stage(shingle_sets(questions, size), "sets")
+        # written, so that its size is known before the arrays are shuffled for it
+        owners = work.stage(
+            sets.where("shingles IS NOT NULL").groupBy("set_key").agg(F.min("question_id").alias("owner_id")), "owners")
+        owned = sets.where("shingles IS NOT NULL").select("question_id", "set_key").join(owners, "set_key").select("question_id", "owner_id")
+        members = stage(owned.unionByName(sets.where("shingles IS NULL").selectExpr("question_id", "question_id AS owner_id")), "members")
+        unique = work.stage(
+            sets.where("n > 0").drop("set_key").join(owners.where("set_key.n > 0").selectExpr("owner_id AS question_id"), "question_id", "left_semi"),
+            "unique")
+        work.drop(sets, owners)
+        return members, stage(_similar_sets(unique, threshold, work), "similar")
+
+
+def _rarity(unique: DataFrame) -> str:
+    """SQL array of a number for each of ``_BUCKETS`` hashed groups of shingles: how often they occur, eight steps a doubling."""
     counts = unique.selectExpr(f"explode(transform(shingles, s -> pmod(s, {_BUCKETS}))) AS bucket").groupBy("bucket").count()
-    steps = bytearray(_BUCKETS)
+    steps = [0] * _BUCKETS
     for bucket, n in counts.collect():  # _BUCKETS rows at most
-        steps[bucket] = min(255, int(8 * math.log2(n + 1)))
-    return bytes(steps)
+        steps[bucket] = _step(n)
+    return f"from_json('{steps}', 'array<bigint>')"
+
 
+def _step(n: int) -> int:
+    return min(255, int(8 * math.log2(n + 1)))
 
-def _similar_sets(unique: DataFrame, threshold: float) -> DataFrame:
+
+def _similar_sets(unique: DataFrame, threshold: float, work: Scratch) -> DataFrame:
     """Pairs of different sets with Jaccard >= t.
 
     They must share a shingle within their first ``n - ceil(t*n) + 1`` shingles in
     any common order. The order here is by frequency of the shingle's bucket, so a
     frequent shingle comes late, and each set finds its own prefix without leaving
-    its row: only prefixes are shuffled. A shingle shared by many is split into a
-    grid of blocks, so no task receives a whole hot group, and every pair is still
-    compared.
+    its row: only prefixes are shuffled, once for both sides. A shingle in more
+    than ``_BLOCK`` prefixes is split into a grid of blocks, so no task receives a
+    whole hot group, and every pair is still compared.
     """
-    steps = F.lit(_rarity(unique))
-    ordered = F.array_sort(F.transform("shingles", lambda s: F.struct(
-        F.substring(steps, F.pmod(s, F.lit(_BUCKETS)).cast("int") + 1, F.lit(1)).alias("step"), s.alias("shingle"))))
-    places = stage(
-        unique.select("question_id", "n", F.slice(ordered, F.lit(1), F.expr(
-            f"CAST(n - ceil({threshold}D * n - 1e-9D) + 1 AS INT)")).alias("first"))
-        .selectExpr("question_id", "n", "posexplode(first.shingle) AS (place, shingle)")
+    # the bucket's number in the highest byte, the shingle without its own; sets are compared by whole shingles in the end
+    ordered = f"sort_array(transform(shingles, s -> shiftleft(get({_rarity(unique)}, CAST(pmod(s, {_BUCKETS}) AS INT)) - 128, 56) + (s & {(1 << 56) - 1}L)))"
+    places = work.stage(
+        unique.selectExpr("question_id", "CAST(n AS INT) AS n", f"slice({ordered}, 1, CAST(n - ceil({threshold}D * n - 1e-9D) + 1 AS INT)) AS first")
+        .selectExpr("question_id", "n", "posexplode(first) AS (place, shingle)")
         .withColumn("place", F.expr("place + 1")),
         "places",
     )
-    # shingles in the prefix of a single question can never meet
-    shared = places.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    prefix = stage(
-        places.join(shared, "shingle")
-        .withColumn("blocks", F.expr(f"CAST(ceil(df / {_BLOCK}) AS INT)"))
-        .withColumn("block", F.expr("CAST(pmod(xxhash64(question_id), blocks) AS INT)")),
-        "prefixes",
-    )
-    left = prefix.selectExpr(
-        "shingle", "block AS row_block", "explode(sequence(0, blocks - 1)) AS col_block",
-        "question_id AS a", "n AS n_a", "place AS place_a",
-    )
-    right = prefix.selectExpr(
-        "shingle", "explode(sequence(0, blocks - 1)) AS row_block", "block AS col_block",
-        "question_id AS b", "n AS n_b", "place AS place_b",
+    # only a bucket that is frequent itself can hold such a shingle; others are not counted
+    hot = work.stage(
+        places.where(f"shiftright(shingle, 56) + 128 >= {_step(_BLOCK)}").groupBy("shingle").agg(F.count("*").alias("df")).where(f"df > {_BLOCK}")
+        .selectExpr("shingle", f"CAST(ceil(df / {_BLOCK}) AS INT) AS blocks"),
+        "hot",
     )
-    candidates = (
-        left.join(right.hint("merge"), ["shingle", "row_block", "col_block"])
-        .where(f"a < b AND least(n_a, n_b) >= {threshold}D * greatest(n_a, n_b) - 1e-9D")
+    rest = places.join(hot, "shingle", "left_anti")
+    split = places.join(hot, "shingle").withColumn("block", F.expr("CAST(pmod(xxhash64(question_id), blocks) AS INT)"))
+    one = ["question_id AS a", "n AS n_a", "place AS place_a"]
+    other = ["question_id AS b", "n AS n_b", "place AS place_b"]
+    met = rest.selectExpr("shingle", *one).join(rest.selectExpr("shingle", *other).hint("merge"), "shingle").unionByName(
+        split.selectExpr("shingle", "block AS row_block", "explode(sequence(0, blocks - 1)) AS col_block", *one).join(
+            split.selectExpr("shingle", "explode(sequence(0, blocks - 1)) AS row_block", "block AS col_block", *other).hint("merge"),
+            ["shingle", "row_block", "col_block"]).drop("row_block", "col_block"))
+    candidates = work.stage(
+        met.where(f"a < b AND least(n_a, n_b) >= {threshold}D * greatest(n_a, n_b) - 1e-9D")
         # what follows the first shared place must still suffice for the threshold
         .where(
             "1 + least(n_a - place_a, n_b - place_b) >= "
             f"{threshold}D / (1 + {threshold}D) * (n_a + n_b) - 1e-9D"
         )
         .select("a", "b")
-        .distinct()
+        .distinct(),
+        "candidates",
     )
+    work.drop(places, hot)
     arrays = unique.select("question_id", "shingles", "n")
     return (
-        candidates.join(arrays.selectExpr("question_id AS a", "shingles AS s_a", "n AS n_a").hint("merge"), "a")
-        .join(arrays.selectExpr("question_id AS b", "shingles AS s_b", "n AS n_b").hint("merge"), "b")
+        candidates.join(arrays.selectExpr("question_id AS a", "shingles AS s_a", "n AS n_a"), "a")
+        .join(arrays.selectExpr("question_id AS b", "shingles AS s_b", "n AS n_b"), "b")
         .selectExpr("a", "b", "n_a", "n_b", "size(array_intersect(s_a, s_b)) AS common")
         .selectExpr("a AS question_id", "b AS similar_id", "common / (n_a + n_b - common) AS jaccard")
         .where(f"jaccard >= {threshold}D")
