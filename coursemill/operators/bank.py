@@ -15,6 +15,7 @@ from coursemill.functions import rules
 from coursemill.functions.columns import fresh, let, quote, quoted, strip
 from coursemill.operators import ordinals
 from coursemill.operators.components import components
+from coursemill.operators.sieve import marked, sieve
 from coursemill.sources.staging import Scratch, stage
 
 # Fields every question has; notes may be empty, the others not.
@@ -231,6 +232,8 @@ SHINGLE = 3
 _BLOCK = 4096
 # fixed size of the table of shingle frequencies, whatever the bank
 _BUCKETS = 1 << 16
+# bitmaps of ids that are broadcast: 8 MB at most
+_FILTER_BITS = 1 << 26
 
 
 def shingle_sets(questions: DataFrame, size: int = SHINGLE) -> DataFrame:
@@ -286,13 +289,15 @@ def _classes_and_pairs(questions: DataFrame, threshold: float, size: int) -> tup
     """``(question_id, owner_id)`` of all questions and the similar pairs of owners; the sets themselves are removed again."""
     with Scratch(questions.sparkSession, "shingles") as work:
         sets = work.stage(shingle_sets(questions, size), "sets")
-        # written, so that its size is known before the arrays are shuffled for it
         owners = work.stage(
             sets.where("shingles IS NOT NULL").groupBy("set_key").agg(F.min("question_id").alias("owner_id")), "owners")
         owned = sets.where("shingles IS NOT NULL").select("question_id", "set_key").join(owners, "set_key").select("question_id", "owner_id")
         members = stage(owned.unionByName(sets.where("shingles IS NULL").selectExpr("question_id", "question_id AS owner_id")), "members")
+        # arrays of questions that may be copies are shuffled to be told from owners, the others stay where they are
+        known = marked(sets.where("n > 0").drop("set_key"), members.where("question_id <> owner_id"), "question_id", _FILTER_BITS, "maybe_copy")
+        owner_ids = owners.where("set_key.n > 0").selectExpr("owner_id AS question_id")
         unique = work.stage(
-            sets.where("n > 0").drop("set_key").join(owners.where("set_key.n > 0").selectExpr("owner_id AS question_id"), "question_id", "left_semi"),
+            known.where("NOT maybe_copy").unionByName(known.where("maybe_copy").join(owner_ids, "question_id", "left_semi")).drop("maybe_copy"),
             "unique")
         work.drop(sets, owners)
         return members, stage(_similar_sets(unique, threshold, work), "similar")
@@ -355,7 +360,8 @@ def _similar_sets(unique: DataFrame, threshold: float, work: Scratch) -> DataFra
         "candidates",
     )
     work.drop(places, hot)
-    arrays = unique.select("question_id", "shingles", "n")
+    ids = candidates.selectExpr("explode(array(a, b)) AS question_id")
+    arrays = sieve(unique.select("question_id", "shingles", "n"), ids, "question_id", _FILTER_BITS)
     return (
         candidates.join(arrays.selectExpr("question_id AS a", "shingles AS s_a", "n AS n_a"), "a")
         .join(arrays.selectExpr("question_id AS b", "shingles AS s_b", "n AS n_b"), "b")
