@@ -348,15 +348,17 @@ def _similar_sets(unique: DataFrame, threshold: float, work: Scratch) -> DataFra
         split.selectExpr("shingle", "block AS row_block", "explode(sequence(0, blocks - 1)) AS col_block", *one).join(
             split.selectExpr("shingle", "explode(sequence(0, blocks - 1)) AS row_block", "block AS col_block", *other).hint("merge"),
             ["shingle", "row_block", "col_block"]).drop("row_block", "col_block"))
+    overlap = f"{threshold}D / (1 + {threshold}D) * (n_a + n_b) - 1e-9D"
     candidates = work.stage(
         met.where(f"a < b AND least(n_a, n_b) >= {threshold}D * greatest(n_a, n_b) - 1e-9D")
-        # what follows the first shared place must still suffice for the threshold
-        .where(
-            "1 + least(n_a - place_a, n_b - place_b) >= "
-            f"{threshold}D / (1 + {threshold}D) * (n_a + n_b) - 1e-9D"
-        )
-        .select("a", "b")
-        .distinct(),
+        .groupBy("a", "b", "n_a", "n_b")
+        .agg(F.count("*").alias("shared"), *(f(p).alias(f"{f.__name__}_{p}") for f in (F.min, F.max) for p in ("place_a", "place_b")))
+        # what follows the first shared place, and what follows the last, must still suffice for the threshold
+        .where(f"1 + least(n_a - min_place_a, n_b - min_place_b) >= {overlap}")
+        .where(f"shared + least(n_a - max_place_a, n_b - max_place_b) >= {overlap}")
+        # a shared shingle not counted here lies beyond the prefix that ends first in the order
+        .where(f"shared + ceil({threshold}D * greatest(n_a, n_b) - 1e-9D) - 1 >= {overlap}")
+        .select("a", "b"),
         "candidates",
     )
     work.drop(places, hot)
