@@ -6,8 +6,6 @@ correct_answer, explanation, learning_path, module, additional_notes``.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -230,9 +228,7 @@ def merge_dedup(batches: DataFrame) -> DataFrame:
 
 SHINGLE = 3
 _BLOCK = 4096
-# fixed size of the table of shingle frequencies, whatever the bank
-_BUCKETS = 1 << 16
-# bitmaps of ids that are broadcast: 8 MB at most
+# bitmaps of ids and shingles that are broadcast: 8 MB at most
 _FILTER_BITS = 1 << 26
 
 
@@ -303,45 +299,31 @@ def _classes_and_pairs(questions: DataFrame, threshold: float, size: int) -> tup
         return members, stage(_similar_sets(unique, threshold, work), "similar")
 
 
-def _rarity(unique: DataFrame) -> str:
-    """SQL array of a number for each of ``_BUCKETS`` hashed groups of shingles: how often they occur, eight steps a doubling."""
-    counts = unique.selectExpr(f"explode(transform(shingles, s -> pmod(s, {_BUCKETS}))) AS bucket").groupBy("bucket").count()
-    steps = [0] * _BUCKETS
-    for bucket, n in counts.collect():  # _BUCKETS rows at most
-        steps[bucket] = _step(n)
-    return f"from_json('{steps}', 'array<bigint>')"
-
-
-def _step(n: int) -> int:
-    return min(255, int(8 * math.log2(n + 1)))
-
-
 def _similar_sets(unique: DataFrame, threshold: float, work: Scratch) -> DataFrame:
     """Pairs of different sets with Jaccard >= t.
 
     They must share a shingle within their first ``n - ceil(t*n) + 1`` shingles in
-    any common order. The order here is by frequency of the shingle's bucket, so a
-    frequent shingle comes late, and each set finds its own prefix without leaving
-    its row: only prefixes are shuffled, once for both sides. A shingle in more
-    than ``_BLOCK`` prefixes is split into a grid of blocks, so no task receives a
-    whole hot group, and every pair is still compared.
+    any common order; with the rarest first, few rows meet. Shingles of a single
+    set are kept from the shuffles by a bitmap of the others; they come first in
+    the order and only use up places. A shingle in more than ``_BLOCK`` sets is
+    split into a grid of blocks, so no task receives a whole hot group, and every
+    pair is still compared.
     """
-    # the bucket's number in the highest byte, the shingle without its own; sets are compared by whole shingles in the end
-    ordered = f"sort_array(transform(shingles, s -> shiftleft(get({_rarity(unique)}, CAST(pmod(s, {_BUCKETS}) AS INT)) - 128, 56) + (s & {(1 << 56) - 1}L)))"
+    tokens = unique.selectExpr("question_id", "CAST(n AS INT) AS n", "explode(shingles) AS shingle")
+    # shingles of a single question can never meet
+    common = work.stage(tokens.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    own = Window.partitionBy("question_id")
     places = work.stage(
-        unique.selectExpr("question_id", "CAST(n AS INT) AS n", f"slice({ordered}, 1, CAST(n - ceil({threshold}D * n - 1e-9D) + 1 AS INT)) AS first")
-        .selectExpr("question_id", "n", "posexplode(first) AS (place, shingle)")
-        .withColumn("place", F.expr("place + 1")),
+        sieve(tokens, common, "shingle", _FILTER_BITS).join(common, "shingle")
+        .withColumn("place", F.row_number().over(own.orderBy("df", "shingle")))
+        .withColumn("place", F.expr("place + n") - F.count("*").over(own).cast("int"))
+        .where(f"place <= n - ceil({threshold}D * n - 1e-9D) + 1"),
         "places",
     )
-    # only a bucket that is frequent itself can hold such a shingle; others are not counted
-    hot = work.stage(
-        places.where(f"shiftright(shingle, 56) + 128 >= {_step(_BLOCK)}").groupBy("shingle").agg(F.count("*").alias("df")).where(f"df > {_BLOCK}")
-        .selectExpr("shingle", f"CAST(ceil(df / {_BLOCK}) AS INT) AS blocks"),
-        "hot",
-    )
-    rest = places.join(hot, "shingle", "left_anti")
-    split = places.join(hot, "shingle").withColumn("block", F.expr("CAST(pmod(xxhash64(question_id), blocks) AS INT)"))
+    work.drop(common)
+    rest = places.where(f"df <= {_BLOCK}")
+    split = places.where(f"df > {_BLOCK}").withColumn("blocks", F.expr(f"CAST(ceil(df / {_BLOCK}) AS INT)")).withColumn(
+        "block", F.expr("CAST(pmod(xxhash64(question_id), blocks) AS INT)"))
     one = ["question_id AS a", "n AS n_a", "place AS place_a"]
     other = ["question_id AS b", "n AS n_b", "place AS place_b"]
     met = rest.selectExpr("shingle", *one).join(rest.selectExpr("shingle", *other).hint("merge"), "shingle").unionByName(
@@ -361,7 +343,7 @@ def _similar_sets(unique: DataFrame, threshold: float, work: Scratch) -> DataFra
         .select("a", "b"),
         "candidates",
     )
-    work.drop(places, hot)
+    work.drop(places)
     ids = candidates.selectExpr("explode(array(a, b)) AS question_id")
     arrays = sieve(unique.select("question_id", "shingles", "n"), ids, "question_id", _FILTER_BITS)
     return (
