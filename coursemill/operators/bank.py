@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from coursemill.functions import rules
 from coursemill.functions.columns import fresh, let, quote, quoted, strip
@@ -89,6 +90,51 @@ def structure_differences(lines: DataFrame, fields: list[str], *keys: str) -> Da
     )
 
 
+def exemplar_differences(lines: DataFrame, exemplar: StructType, *keys: str) -> DataFrame:
+    """``(keys, field, problem)``: where JSON lines differ in structure from an exemplar's schema, nested objects included.
+
+    ``field`` is the path of a key, ``problem`` is ``missing``, ``unexpected`` or ``type``.
+    Below a key that is missing or no object nothing more is reported, nor inside
+    arrays. A null has every type, and numbers are one type. Null lines and lines
+    that are not valid JSON objects give no rows; ``malformed_lines`` tells of
+    those. Only ``line`` and ``keys`` are read.
+    """
+    checks = ", ".join(_object_checks(exemplar, "$", ""))
+    return (
+        lines.selectExpr(*keys, "try_parse_json(line) AS _value")
+        .where(f"{_kind('_value', '$')} = 'object'")
+        .selectExpr(*keys, f"inline(concat({checks}))")
+    )
+
+
+def _object_checks(schema: StructType, at: str, prefix: str) -> list[str]:
+    """SQL arrays of the problems found in the object at a path, then in those below it."""
+    names = f"CAST(array({quoted(schema.names)}) AS array<string>)"
+    found = f"json_object_keys(to_json(try_variant_get(_value, {quote(at)}, 'variant')))"
+    found = f"IF({_kind('_value', at)} = 'object', {found}, {names})"
+
+    def problems(of: str, problem: str) -> str:
+        return f"transform({of}, f -> named_struct('field', concat({quote(prefix)}, f), 'problem', '{problem}'))"
+
+    checks = [problems(f"array_except({names}, {found})", "missing"), problems(f"array_except({found}, {names})", "unexpected")]
+    for field in schema.fields:
+        mark = '"' if "'" in field.name else "'"
+        below = f"{at}[{mark}{field.name}{mark}]"
+        wanted = {"struct": "object", "array": "array", "boolean": "boolean", "string": "string"}.get(field.dataType.typeName(), "number")
+        kind = _kind("_value", below)
+        checks.append(problems(f"IF({kind} <> '{wanted}', array({quote(field.name)}), CAST(array() AS array<string>))", "type"))
+        if isinstance(field.dataType, StructType):
+            checks += _object_checks(field.dataType, below, f"{prefix}{field.name}.")
+    return checks
+
+
+def _kind(value: str, at: str) -> str:
+    """Kind of the JSON value at a path of a variant; null where there is none or it is null."""
+    head = f"regexp_extract(schema_of_variant(try_variant_get({value}, {quote(at)}, 'variant')), '^[A-Z]+', 0)"
+    return (f"CASE {head} WHEN 'OBJECT' THEN 'object' WHEN 'ARRAY' THEN 'array' WHEN 'BOOLEAN' THEN 'boolean' "
+            f"WHEN 'STRING' THEN 'string' WHEN 'VOID' THEN NULL ELSE IF({head} IS NULL, NULL, 'number') END")
+
+
 def question_types(questions: DataFrame) -> DataFrame:
     return questions.selectExpr("question_id", f"{rules.question_type('question')} AS question_type")
 

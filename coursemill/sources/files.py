@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from coursemill.operators import ordinals
 from coursemill.operators.publish import LINE_KEY
@@ -98,6 +99,11 @@ def snapshot_units(snapshot: DataFrame) -> DataFrame:
     )
 
 
+def read_exemplar(spark: SparkSession, path: str) -> StructType:
+    """Structure of an exemplar JSONL file, all its lines taken together; a malformed line fails the read."""
+    return spark.read.option("mode", "FAILFAST").json(path).schema
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text lines with their 1-based number in the file.
 

@@ -467,6 +467,27 @@ def brute_pairs(texts, threshold):
     return pairs
 
 
+def test_exemplar_differences(spark, tmp_path):
+    exemplar = tmp_path / "exemplar.jsonl"
+    exemplar.write_text('{"q": "x", "n": 1, "o": {"A": "a", "it\'s": {"deep": true}}, "tags": ["t"]}\n{"q": "y", "o": {"B": "b"}}\n')
+    schema = files.read_exemplar(spark, str(exemplar))
+    whole = '"n": 2.5, "tags": []'
+    lines = {
+        1: '{"q": "z", %s, "o": {"A": "a", "B": null, "it\'s": {"deep": false}}}' % whole,
+        2: '{"q": 7, %s, "o": {"A": "a", "B": "b", "C": "c", "it\'s": {"deep": "no", "more": 1}}}' % whole,
+        3: '{"q": "z", %s, "o": "text"}' % whole,
+        4: '{"q": null, "tags": {}, "extra": 1}',
+        5: '{"q": "cut', 6: None, 7: "[1]", 8: "",
+    }
+    df = spark.createDataFrame(list(lines.items()), "line_no INT, line STRING").withColumn("field", F.lit("clash"))
+    got = {(r.line_no, r.field, r.problem) for r in bank.exemplar_differences(df, schema, "line_no").collect()}
+    assert got == {
+        (2, "q", "type"), (2, "o.C", "unexpected"), (2, "o.it's.deep", "type"), (2, "o.it's.more", "unexpected"), (3, "o", "type"),
+        (4, "n", "missing"), (4, "o", "missing"), (4, "tags", "type"), (4, "extra", "unexpected"),
+    }
+    assert bank.exemplar_differences(df.limit(0), schema, "line_no").isEmpty()
+
+
 @pytest.mark.parametrize("threshold", [0.5, 0.8])
 def test_near_duplicates_equal_brute_force(spark, threshold, monkeypatch):
     monkeypatch.setattr(bank, "_BLOCK", 8)  # force several blocks per hot shingle
