@@ -467,6 +467,15 @@ def q_compat(spark, sf):
     )
 
 
+@register("q_compat_exemplar")
+def q_compat_exemplar(spark, sf):
+    """Lines against an exemplar file: the first question that has all fields, written on its own."""
+    lines, path = table(spark, sf, "question_lines"), new_path(spark, "exemplar")
+    whole = lines.where("try_parse_json(line) IS NOT NULL AND get_json_object(line, '$.correct_answer') IS NOT NULL")
+    whole.agg(F.min_by("line", "question_id").alias("line")).where("line IS NOT NULL").write.text(path)
+    return bank.exemplar_differences(lines, files.read_exemplar(spark, path), "question_id")
+
+
 @register("q_type")
 def q_type(spark, sf):
     return bank.question_types(table(spark, sf, "question_bank"))
