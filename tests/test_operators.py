@@ -647,3 +647,12 @@ def test_only_open_words_are_listed(spark):
     done = [(1, p) for p in range(1, 201)] + [(2, p) for p in range(1, 65)] + [(3, p) for p in range(1, 65)] + [(4, 64), (4, 64), (4, 128)]
     left = quiz.open_positions(sizes, spark.createDataFrame(done, "attempt_id BIGINT, position BIGINT"))
     assert sorted(map(tuple, left.collect())) == [(3, 65)] + [(4, p) for p in range(1, 131) if p not in (64, 128)]
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 65, 4099])
+def test_compiled_permutation_is_the_same(spark, n):
+    keyed = spark.range(n).selectExpr("id", f"{n}L AS n", f"{permutation.keys('concat(7, n)')} AS k")
+    flat = keyed.selectExpr("*", *permutation.flat_keys("k", "n"))
+    for inverse in (False, True):
+        both = permutation.with_permuted(flat.withColumn("p", F.expr(permutation.permuted("id", "n", "k", inverse))), "id", "n", "q", inverse)
+        assert both.columns == ["id", "n", "k", "p", "q"] and both.where("p = q").count() == n
