@@ -656,3 +656,43 @@ def test_compiled_permutation_is_the_same(spark, n):
     for inverse in (False, True):
         both = permutation.with_permuted(flat.withColumn("p", F.expr(permutation.permuted("id", "n", "k", inverse))), "id", "n", "q", inverse)
         assert both.columns == ["id", "n", "k", "p", "q"] and both.where("p = q").count() == n
+
+
+def test_quizzes_by_question_equal_quizzes_by_position(spark, monkeypatch):
+    _, quizzes, numbered = own_quizzes(spark)
+    quizzes, numbered = staging.stage(quizzes, "quizzes"), staging.stage(numbered, "numbered")
+    made = quiz.quiz_questions(quizzes, numbered).collect()  # by position: these quizzes are small
+    known, rows = sorted(map(str, made)), [r for r in made if r.question_id is not None]
+    answered = spark.createDataFrame([(r.attempt_id, r.question_id) for r in rows if r.question_id % 3 or r.attempt_id == 6] + [(1, 101), (99, 100)],
+                                     "attempt_id BIGINT, question_id BIGINT")
+    left = sorted(str(r) for r in rows if not (r.question_id % 3 or r.attempt_id == 6))
+    monkeypatch.setattr(quiz, "BLOCK", 64)
+    monkeypatch.setattr(quiz, "WIDE", "total >= 60")
+    monkeypatch.setattr(quiz, "TASK_ROWS", 200)
+    assert sorted(map(str, quiz.quiz_questions(quizzes, numbered).collect())) == known
+    assert sorted(map(str, quiz.quiz_remainder(quizzes, numbered, answered).collect())) == left
+
+
+def shuffled_rows(plan):
+    """Rows written by the exchanges of an executed plan."""
+    kind, rows = plan.getClass().getSimpleName(), 0
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled_rows(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled_rows(plan.plan())
+    if kind == "ShuffleExchangeExec":
+        rows = plan.metrics().apply("shuffleRecordsWritten").value()
+    return rows + sum(shuffled_rows(plan.children().apply(i)) for i in range(plan.children().size()))
+
+
+def test_whole_quizzes_are_not_shuffled(spark):
+    """30 attempts at all of 5,000 questions: far fewer rows are shuffled than made."""
+    questions = spark.range(5000).selectExpr("id AS question_id", "concat('p', id % 3) AS learning_path")
+    requests = spark.range(30).selectExpr("id AS attempt_id", "IF(id % 2 = 0, '', '1,2,3') AS selection", "'' AS requested")
+    catalog = bank.path_catalog(questions)
+    quizzes = staging.stage(quiz.attempt_quizzes(requests, quiz.path_selection(requests, catalog), catalog, 42), "quizzes")
+    numbered = staging.stage(quiz.numbered_questions(questions, catalog), "numbered")
+    answered = spark.range(900).selectExpr("id % 30 AS attempt_id", "id AS question_id")
+    for df, n in [(quiz.quiz_questions(quizzes, numbered), 150_000), (quiz.quiz_remainder(quizzes, numbered, answered), 149_100)]:
+        assert len(df.collect()) == n
+        assert shuffled_rows(df._jdf.queryExecution().executedPlan()) < 60_000
