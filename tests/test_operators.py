@@ -576,6 +576,21 @@ def test_percentages_round_half_to_even(spark):
     assert (row.percentage_1, row.percentage_0) == (12.5, 12.0)
 
 
+def test_sets_are_written_once(spark, monkeypatch):
+    """Only the sets of possible copies are written a second time."""
+    df = spark.createDataFrame([(i, f"a{i} b{i} c{i} d{i}" if i > 1 else "same words in both") for i in range(200)], "question_id BIGINT, question STRING")
+    written, keep = [], staging.Scratch.stage
+
+    def count(self, table, label):
+        kept = keep(self, table, label)
+        written.append(kept.count() if "shingles" in kept.columns else 0)
+        return kept
+
+    monkeypatch.setattr(staging.Scratch, "stage", count)
+    assert [tuple(r) for r in bank.near_duplicates(df).collect()] == [(0, 1, 1.0)]
+    assert 200 <= sum(written) < 250
+
+
 # --- quizzes of their own ------------------------------------------------
 
 
