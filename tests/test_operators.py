@@ -519,6 +519,55 @@ def test_near_duplicate_groups(spark):
     assert bank.near_duplicate_groups(df.limit(0)).isEmpty()
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_near_duplicate_groups_equal_brute_force(spark, threshold, monkeypatch):
+    monkeypatch.setattr(bank, "_BLOCK", 4)  # several blocks per hot shingle, also of one part
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefghij") * 2 + str(rng.randint(0, 30)) for _ in range(40)] for _ in range(8)]
+    texts = {}
+    for i in rng.sample(range(1000), 150):
+        words = list(rng.choice(base))
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = f"new{rng.randint(0, 50)}"
+        texts[i] = " ".join(words)
+    df = spark.createDataFrame(list(texts.items()), "question_id BIGINT, question STRING")
+    group = {i: i for i in texts}
+    pairs, changed = brute_pairs(texts, threshold), True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            least = min(group[a], group[b])
+            changed |= group[a] != group[b]
+            group[a] = group[b] = least
+    assert {r.question_id: r.group_id for r in bank.near_duplicate_groups(df, threshold).collect()} == group
+    assert len(set(group.values())) > 8
+
+
+def test_groups_do_not_compare_all_pairs_of_a_family(spark, monkeypatch):
+    """200 texts that differ by a word are 19,900 similar pairs; their group needs about one comparison each."""
+    words = [f"w{k}" for k in range(200)]
+    texts = [(i, " ".join([*words[:i], f"new{i}", *words[i + 1:]])) for i in range(200)]
+    df = spark.createDataFrame(texts, "question_id BIGINT, question STRING")
+    written, keep = [], staging.Scratch.stage
+
+    def count(self, table, label):
+        kept = keep(self, table, label)
+        if {"a", "b"} <= set(kept.columns):
+            written.append(kept.count())
+        return kept
+
+    def count_similar(table, label):
+        kept = keep_stage(table, label)
+        written.append(kept.count() if label == "similar" else 0)
+        return kept
+
+    keep_stage = bank.stage
+    monkeypatch.setattr(staging.Scratch, "stage", count)
+    monkeypatch.setattr(bank, "stage", count_similar)
+    assert {r.group_id for r in bank.near_duplicate_groups(df).collect()} == {0}
+    assert sum(written) < 2000
+
+
 def test_merge_keeps_the_first_of_equal_texts(spark):
     df = spark.createDataFrame(
         [(1, 5, "A  b"), (1, 9, "a B "), (2, 1, "a b"), (2, 2, "other")],
