@@ -568,6 +568,29 @@ def test_groups_do_not_compare_all_pairs_of_a_family(spark, monkeypatch):
     assert sum(written) < 2000
 
 
+@pytest.mark.parametrize("entries, every, often", [(8, 1, 1), (1 << 12, 2, 2)])
+def test_only_first_places_are_counted(spark, monkeypatch, entries, every, often):
+    """A fifth of the shingles of a set is counted; the table that orders them does not change the result."""
+    for name, value in {"_ENTRIES": entries, "_EVERY": every, "_OFTEN": often, "_AT_ONCE": 64}.items():
+        monkeypatch.setattr(bank, name, value)
+    rng = random.Random(11)
+    base = [[rng.choice("abcdef") + str(rng.randint(0, 9)) for _ in range(rng.randint(30, 60))] for _ in range(8)]
+    texts = {i: " ".join(w if rng.random() > 0.03 else f"new{rng.randint(0, 50)}" for w in rng.choice(base)) for i in range(100)}
+    df = spark.createDataFrame(list(texts.items()), "question_id BIGINT, question STRING").repartition(2)
+    counted, keep = [], staging.Scratch.stage
+
+    def count(self, table, label):
+        kept = keep(self, table, label)
+        if label == "firsts":
+            counted.append(kept.selectExpr("sum(size(firsts)) / sum(n)").first()[0])
+        return kept
+
+    monkeypatch.setattr(staging.Scratch, "stage", count)
+    pairs = brute_pairs(texts, 0.8)
+    assert {(r.question_id, r.similar_id) for r in bank.near_duplicates(df).collect()} == pairs and len(pairs) > 50
+    assert len(counted) == 1 and counted[0] < 0.25
+
+
 def test_merge_keeps_the_first_of_equal_texts(spark):
     df = spark.createDataFrame(
         [(1, 5, "A  b"), (1, 9, "a B "), (2, 1, "a b"), (2, 2, "other")],
