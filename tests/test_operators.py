@@ -591,6 +591,23 @@ def test_only_first_places_are_counted(spark, monkeypatch, entries, every, often
     assert len(counted) == 1 and counted[0] < 0.25
 
 
+def test_late_places_do_not_meet_each_other(spark, monkeypatch):
+    """Sets that share only a shingle late in their prefixes make no pairs, an early one still finds the similar pair."""
+    n = 40
+    rows = [(i, n, 7, 60, 8) for i in range(60)] + [(i, n, 9, 2, place) for i, place in ((0, 1), (1, 2))]
+    places = spark.createDataFrame(rows, "question_id BIGINT, n INT, shingle BIGINT, df BIGINT, place INT").withColumn("part", F.col("question_id"))
+    heads = spark.createDataFrame([(i, [7, 9] if i < 2 else [7]) for i in range(60)], "question_id BIGINT, head ARRAY<BIGINT>")
+    met, keep = [], bank._passing
+
+    def count(pairs, *more):
+        met.append(pairs.count())
+        return keep(pairs, *more)
+
+    monkeypatch.setattr(bank, "_passing", count)
+    bank._candidates(places, heads, 0.8).collect()
+    assert met == [1]  # 1,770 pairs share shingle 7
+
+
 def test_merge_keeps_the_first_of_equal_texts(spark):
     df = spark.createDataFrame(
         [(1, 5, "A  b"), (1, 9, "a B "), (2, 1, "a b"), (2, 2, "other")],
