@@ -800,3 +800,18 @@ def test_whole_quizzes_are_not_shuffled(spark):
     for df, n in [(quiz.quiz_questions(quizzes, numbered), 150_000), (quiz.quiz_remainder(quizzes, numbered, answered), 149_100)]:
         assert len(df.collect()) == n
         assert shuffled_rows(df._jdf.queryExecution().executedPlan()) < 60_000
+
+
+def test_rows_of_large_quizzes_are_not_shuffled(spark, monkeypatch):
+    """60 attempts at 1,100 of 30,000 questions and at all of them: what is shuffled goes by the inputs, not by the rows."""
+    monkeypatch.setattr(quiz, "TASK_ROWS", 1 << 17)
+    questions = spark.range(30_000).selectExpr("id AS question_id", "concat('p', id % 3) AS learning_path")
+    requests = spark.range(63).selectExpr("id AS attempt_id", "'' AS selection", "IF(id < 60, '1100', '') AS requested")
+    catalog = bank.path_catalog(questions)
+    quizzes = staging.stage(quiz.attempt_quizzes(requests, quiz.path_selection(requests, catalog), catalog, 42), "quizzes")
+    numbered = staging.stage(quiz.numbered_questions(questions, catalog), "numbered")
+    df = quiz.quiz_questions(quizzes, numbered)
+    rows = df.groupBy("attempt_id").agg(F.count("*").alias("n"), F.countDistinct("question_id").alias("q"), F.max("position").alias("last"))
+    assert {tuple(r) for r in rows.collect()} == {(i, *[1100 if i < 60 else 30_000] * 3) for i in range(63)}
+    df.collect()
+    assert shuffled_rows(df._jdf.queryExecution().executedPlan()) < 10_000
